@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from postmill.session import within_broadcast_bound
+from postmill.session import checkpointed, within_broadcast_bound
 
 #: Delimiter candidates. A hyphen between digits is a range; a tight slash is another candidate than a spaced one.
 STRONG = {
@@ -37,7 +37,7 @@ STRONG = {
 WEAK = {
     "slash_spaced": r"\s+/\s+",
     "slash_tight": r"(?<=\S)/(?=\S)",
-    "dash_spaced": r"(?:(?<!\d)\s+[-–—](?:\s+|$)|\s+[-–—]\s+(?!\d))",
+    "dash_spaced": r"(?:(?<!\d)\s+[-–—](?:\s+[-–—])*(?:\s+|$)|\s+[-–—](?:\s+[-–—])*\s+(?!\d))",
     "ampersand": r"\s+&\s+",
     "conjunction": r"\s+(?:và|and)\s+",
 }
@@ -52,6 +52,7 @@ MAX_BROADCAST_ROWS = 20_000
 _PLAIN = ",;|/•●▪、，；&\n\r-–— "
 _MARKS = "".join(chr(0xE000 + i) for i in range(len(_PLAIN)))
 _CUT = chr(0xE100)
+QUOTED = r"""(?:^|[,;|/•、，\n&–—-]\s*|\s)(?:"[^"]*"|'[^']*')\s*(?:$|[,;|/•、，\n&–—-]|\s)"""
 _AFTER = r"(?=\s*(?:$|[,;|/•、，\n&–—-]|và\s|and\s))"
 _BEFORE = r"(?<=^|[,;|/•、，\n&–—-]|\svà|\sand)"
 
@@ -85,7 +86,7 @@ def value_key(piece: Column) -> Column:
 
 
 #: Words of addresses. Fixed vocabulary.
-STREET = r"(?iU)\b(st|street|blvd|road|rd|ave|avenue|đường|duong|đại lộ|dai lo|floor|tầng|tòa nhà|toà nhà|building|tower|plaza|house|block|hub|center|centre)\b"
+STREET = r"(?iU)\b(st|street|blvd|road|rd|ave|avenue|đường|(?<!b[iì]nh )duong(?=\s+\w)|đại lộ|dai lo|floor|tầng|tòa nhà|toà nhà|building|tower|plaza|house|block|hub|center|centre)\b"
 WARD = r"(?iU)\b(ward|district|quận|quan|phường|phuong|huyện|xã|commune)\b"
 
 
@@ -96,7 +97,8 @@ def piece_type(piece: Column) -> Column:
 
 def _is_address(piece: Column) -> Column:
     parts = F.split(piece, ",")
-    return (F.size(parts) >= 2) & piece.rlike(STREET + "|" + WARD) & (piece_type(F.element_at(parts, -1)) == "name") & ~F.element_at(parts, -1).rlike(r"\d")
+    other = "|".join(f"(?:{p})" for n, p in CANDIDATES.items() if n != "comma")
+    return ~piece.rlike(other) & (F.size(parts) >= 2) & piece.rlike(STREET + "|" + WARD) & (piece_type(F.element_at(parts, -1)) == "name") & ~F.element_at(parts, -1).rlike(r"\d")
 
 
 def _pieces(protected: Column, pattern: str | Column) -> Column:
@@ -105,11 +107,12 @@ def _pieces(protected: Column, pattern: str | Column) -> Column:
 
 
 def _layout(protected: Column) -> Column:
-    """Candidates that occur in the value, each with '=' if all its pieces are of one type, else '~'."""
+    """Candidates that occur in the value, each with '=' if all its pieces are of one type, else '~'; "quoted!" if it has a quoted piece."""
     marks = []
     for name, pattern in CANDIDATES.items():
         kinds = F.array_distinct(F.transform(_pieces(protected, pattern), piece_type))
         marks.append(F.when(protected.rlike(pattern), F.concat(F.lit(name), F.when(F.size(kinds) <= 1, F.lit("=")).otherwise(F.lit("~")))))
+    marks.append(F.when(protected.rlike(QUOTED), F.lit("quoted!")))
     return F.concat_ws(" ", *marks)
 
 
@@ -120,7 +123,7 @@ def _union(names: tuple[str, ...] | list[str]) -> str:
 
 
 def _subsets(layout: str) -> list[tuple[str, ...]]:
-    names = [x[:-1] for x in layout.split()]
+    names = [x[:-1] for x in layout.split() if x != "quoted!"]
     taken = [n for n in names if n in STRONG] if len(names) > MAX_OPEN else []
     free = [n for n in names if n not in taken]
     return [tuple(taken) + c for k in range(len(free) + 1) for c in combinations(free, k)]
@@ -148,7 +151,7 @@ def _decide(values: DataFrame, known: DataFrame) -> DataFrame:
     )
     pieces = (
         tried.select("source", "layout", "subset", "n", F.explode("pieces").alias("piece"))
-        .withColumn("fixed", F.col("piece").rlike(r"""^\s*(".*"|'.*')\s*$""") | _is_address(F.col("piece")))
+        .withColumn("fixed", F.col("piece").rlike(r"""^\s*("[^"]*"|'[^']*')\s*$""") | _is_address(F.col("piece")))
         .groupBy("source", "layout", "subset", "fixed", value_key(F.col("piece")).alias("key"))
         .agg(F.sum("n").alias("n"))
     )
@@ -217,13 +220,14 @@ def unpack(df: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
         .filter(F.col("protected").rlike(r"[^\s]"))
         .withColumn("layout", _layout(F.col("protected")))
     )
-    texts = rows.groupBy("source", "layout", "protected").agg(F.count("*").alias("n"))
-    single = texts.filter(F.col("layout") == "").select("source", F.explode(F.array_repeat("protected", F.least("n", F.lit(MIN_SUPPORT)).cast("int"))).alias("piece"))
-    decided = _decide(texts, _known(single))
-    pieces = _split(texts, decided).filter((F.col("layout") == "") | (F.col("strong") != "")).select("source", "n", F.explode("pieces").alias("piece"))
+    rows = checkpointed(rows)  # read six times below; the layouts are costly to find
+    texts = checkpointed(rows.groupBy("source", "layout", "protected").agg(F.count("*").alias("n")))
+    single = texts.filter(F.col("layout").isin("", "quoted!")).select("source", F.explode(F.array_repeat("protected", F.least("n", F.lit(MIN_SUPPORT)).cast("int"))).alias("piece"))
+    decided = checkpointed(_decide(texts, _known(single)))
+    pieces = _split(texts, decided).filter(F.col("layout").isin("", "quoted!") | (F.col("strong") != "")).select("source", "n", F.explode("pieces").alias("piece"))
     repeated = pieces.select("source", F.explode(F.array_repeat("piece", F.least("n", F.lit(MIN_SUPPORT)).cast("int"))).alias("piece"))
-    known = _known(repeated)
-    final = _decide(texts, known)
+    known = checkpointed(_known(repeated))
+    final = checkpointed(_decide(texts, known))
     split = _split(rows, final)
     easy = split.filter(F.col("weak") == "").select(*ks, "source", F.posexplode("pieces").alias("at", "piece")).select(*ks, "source", (F.col("at") + 1).alias("pos"), "piece")
     hard = split.filter(F.col("weak") != "").select(*ks, "source", "text", "weak", F.posexplode("pieces").alias("at", "piece"))

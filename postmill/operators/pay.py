@@ -46,11 +46,11 @@ def _has(text: Column, pattern: str) -> Column:
 
 #: Words that name a currency, a scale or a period, in the languages of the boards. Fixed vocabulary.
 CURRENCY_WORDS = [
-    ("SGD", r"s\$|sgd|đô la sing|singapore dollar"),
+    ("SGD", r"(?<!u)s\$|sgd|đô la sing|singapore dollar"),
     ("EUR", r"€|\beur\b|\beuros?\b"),
     ("JPY", r"¥|￥|円|\bjpy\b|\byen\b|yên nhật"),
     ("USD", r"\$|\busd\b|us dollar|đô la|do la my|đô mỹ"),
-    ("VND", r"vnd|vnđ|₫|đồng|\bdong\b|\d\s*đ(?!\p{L})|\p{L}đ(?!\p{L})|triệu|trieu|\d\s*tr(?!\p{L})|nghìn|nghin|ngàn|ngan\b"),
+    ("VND", r"vnd|vnđ|₫|đồng(?!\s*(nghiệp|đội|hành|thời|phục|bộ))|\b(trieu|nghin|ngan|bang|thousand|million|in|vietnamese|viet nam)\s+dong\b|\d\s*đ(?!\p{L})|\p{L}đ(?!\p{L})|triệu|trieu|\d\s*tr(?!\p{L})|nghìn|nghin|ngàn|ngan\b"),
 ]
 SCALE_WORDS = [
     ("man", r"万|\bman\s*(yen|jpy|円)"),
@@ -112,13 +112,13 @@ def amounts(cleaned: Column) -> Column:
 #: Direction words before an amount, and sentences that speak of pay. Fixed vocabulary.
 UP_TO = r"up\s*to|upto|lên đến|len den|lên tới|\btới\b|\btoi\b|\bmax|tối đa|toi da|<=|≤|dưới|under|below|^\s*<"
 AT_LEAST = r"^\s*từ|^\s*tu\b|^\s*from|\bmin|trên|^\s*tren\b|tối thiểu|>=|≥|at least|above|over|^\s*>|\+\s*$|trở lên"
-PAY_SENTENCE = r"lương|\bluong\b|salary|\bpay\b|\bpaid\b|thu nhập|thu nhap|income|wage|package|compensation|remuneration|給与|月給|年収|급여|연봉|gehalt|salaire"
+PAY_SENTENCE = r"lương|(?<!chat )(?<!so )(?<!dung )\bluong\b(?! du lieu)|salary|\bpay\b|\bpaid\b|thu nhập|thu nhap|income|wage|package|compensation|remuneration|給与|月給|年収|급여|연봉|gehalt|salaire"
 
 
 def pay_sentence(description: Column) -> Column:
     """The first sentence of a description that speaks of pay and names a unit, lower-cased; null if none does."""
-    sentences = F.split(F.lower(description), r"[.!?。\r\n]+")
-    return F.element_at(F.filter(sentences, lambda s: s.rlike("(?U)" + PAY_SENTENCE) & unit_of(s).isNotNull()), 1)
+    sentences = F.filter(F.split(F.lower(description), r"[.!?。\r\n]+"), lambda s: s.rlike("(?U)" + PAY_SENTENCE))
+    return F.try_element_at(F.filter(sentences, lambda s: unit_of(s).isNotNull()), F.lit(1))
 
 
 def parse_pay(df: DataFrame, salary: str = "salary", description: str = "job_description") -> DataFrame:

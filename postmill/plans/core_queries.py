@@ -14,7 +14,7 @@ def p1_found(spark: SparkSession, base: str) -> DataFrame:
     """Every posting of either board whose salary states an amount, in thousand VND a month."""
     columns = ["posting_id", "salary", "job_description"]
     both = table(spark, base, "raw_jobs_itviec").select(columns).unionByName(table(spark, base, "raw_jobs_topcv").select(columns))
-    paid = monthly_kvnd(both, table(spark, base, "unit_factors"))
+    paid = monthly_kvnd(both.filter(F.col("salary").rlike(r"\d")), table(spark, base, "unit_factors"))
     return paid.filter(F.col("low_kvnd").isNotNull()).select("posting_id", "low_kvnd", "high_kvnd").distinct()
 
 
