@@ -1,0 +1,127 @@
+"""Alias paths beyond the reference lists: common names of IT jobs and skills in English and Vietnamese.
+
+The lists' own alternative names are incomplete; these are general knowledge of the trade, written without accents where
+both forms occur (values are folded before they are compared). Keyed by canonical name, so that the lists'
+ids stay theirs; a name that a list doesn't hold is left out.
+"""
+
+from __future__ import annotations
+
+#: Fixed vocabulary: canonical job title -> further names.
+TITLE_ALIASES: dict[str, str] = {
+    "Backend Engineer": "Backend Dev|BE Developer|Server-side Engineer|Kỹ sư phát triển Backend",
+    "Frontend Engineer": "Frontend Dev|FE Developer|Web UI Engineer|Kỹ sư giao diện web",
+    "Fullstack Engineer": "Full Stack Dev|Fullstack Web Developer|Kỹ sư Full Stack",
+    "Mobile Engineer": "Mobile Dev|iOS/Android Developer|Kỹ sư ứng dụng di động",
+    "Game Developer": "Game Client Dev|Gameplay Engineer|Lập trình game",
+    "Embedded Engineer": "Embedded Dev|Firmware Engineer|Kỹ sư nhúng",
+    "Data Engineer": "Big Data Engineer|ETL Developer|Kỹ sư dữ liệu lớn",
+    "Data Analyst": "Analyst, Data|Reporting Analyst|Nhân viên phân tích dữ liệu",
+    "Data Scientist": "Applied Data Scientist|Chuyên gia khoa học dữ liệu",
+    "Machine Learning Engineer": "Machine Learning Dev|ML Model Engineer|Kỹ sư Machine Learning",
+    "AI Engineer": "AI Developer|GenAI Engineer|Kỹ sư AI",
+    "Business Intelligence Developer": "BI Engineer|Kỹ sư BI|Power BI Developer",
+    "Business Analyst": "BA|Requirements Analyst|Phân tích nghiệp vụ phần mềm|Nhân viên phân tích nghiệp vụ",
+    "Product Owner": "Digital Product Owner|Chuyên viên Product Owner",
+    "Product Manager": "Digital Product Manager|Giám đốc sản phẩm số",
+    "Project Manager": "Project Mgr|Software PM|Trưởng dự án CNTT",
+    "Scrum Master": "Scrum Facilitator|Chuyên viên Scrum Master",
+    "Bridge Engineer": "Bridge SE|Bridge SE (Japanese)|Bridge System Engineer|Kỹ sư cầu nối tiếng Nhật",
+    "QA Engineer": "QC Engineer|QA Specialist|Nhân viên QA phần mềm",
+    "Manual Tester": "Software Tester (Manual)|Kiểm thử viên thủ công",
+    "Automation Tester": "SDET|Test Automation Dev|Nhân viên kiểm thử tự động",
+    "Performance Tester": "Performance Test Engineer|Nhân viên kiểm thử tải",
+    "DevOps Engineer": "CI/CD Engineer|DevOps Specialist|Kỹ sư vận hành DevOps",
+    "Site Reliability Engineer": "Reliability Engineer|Kỹ sư SRE",
+    "Cloud Engineer": "Cloud Operations Engineer|Kỹ sư Cloud",
+    "System Administrator": "Systems Admin|Linux Administrator|Nhân viên quản trị hệ thống",
+    "Network Engineer": "Network Operations Engineer|Kỹ sư hệ thống mạng",
+    "Database Administrator": "Database Admin|Oracle DBA|Chuyên viên quản trị CSDL",
+    "Security Engineer": "InfoSec Engineer|Security Operations Engineer|Kỹ sư bảo mật",
+    "Penetration Tester": "Ethical Hacking Specialist|Kỹ sư pentest",
+    "IT Support": "Helpdesk Technician|Technical Support Staff|Technical Support|Kỹ thuật viên hỗ trợ CNTT",
+    "Solution Architect": "Enterprise Solution Architect|Kiến trúc sư giải pháp phần mềm",
+    "Software Architect": "Application Architect|Kiến trúc sư ứng dụng",
+    "Technical Leader": "Technical Lead|Engineering Lead|Team Lead Developer|Trưởng nhóm lập trình",
+    "UI/UX Designer": "UX Designer|UI Designer|Product Designer (UI UX)|Nhân viên thiết kế trải nghiệm",
+    "ERP Consultant": "SAP Consultant|Tư vấn triển khai ERP",
+    "Presales Engineer": "Pre Sales Consultant (IT)|Kỹ sư Presales",
+    "Technical Writer": "Tech Writer|Chuyên viên tài liệu kỹ thuật",
+    "IT Comtor": "Japanese IT Communicator|Biên phiên dịch IT tiếng Nhật",
+    "Blockchain Developer": "Blockchain Dev|Web3 Developer|Kỹ sư Blockchain",
+    "Chip Design Engineer": "RTL Design Engineer|Kỹ sư thiết kế chip",
+    "Hardware Engineer": "Electronics Hardware Engineer|Kỹ sư thiết kế mạch điện tử",
+}
+
+#: Fixed vocabulary: canonical skill -> further names that stripping common words doesn't give.
+SKILL_ALIASES: dict[str, str] = {
+    "Computer Vision": "CV (computer vision)",
+    "DAX": "Data Analysis Expressions",
+    "Data Analysis": "Data analytics",
+    "Data Warehouse": "Data warehousing|DWH",
+    "Deep Learning": "Học sâu",
+    "Large Language Models": "LLM|LLMs|Mô hình ngôn ngữ lớn",
+    "Machine Learning": "ML|Học máy",
+    "Natural Language Processing": "Xử lý ngôn ngữ tự nhiên",
+    "PyTorch": "Torch",
+    "Banking Domain": "Banking|Ngân hàng",
+    "Blockchain": "Block chain technology|Công nghệ chuỗi khối|Chuỗi khối",
+    "Business Analysis": "BA|Phân tích nghiệp vụ",
+    "Requirement Elicitation": "Eliciting requirements",
+    "Salesforce": "SFDC",
+    "UML": "Sơ đồ UML",
+    "Ansible": "Ansible playbook",
+    "CI/CD": "Continuous integration and delivery|CI-CD",
+    "Git": "Quản lý mã nguồn Git",
+    "Google Cloud Platform": "Google Cloud",
+    "Network Security": "Bảo mật mạng",
+    "Terraform": "Terraform IaC",
+    "Db2": "DB2 z/OS",
+    "Elasticsearch": "ES search engine",
+    "Microsoft SQL Server": "SQL Server|MS SQL Server",
+    "Oracle Database": "Oracle|CSDL Oracle|Oracle 19c|Oracle DB",
+    "PostgreSQL": "psql|Postgre",
+    "Redis": "Redis in-memory store",
+    "Adobe Photoshop": "PS",
+    "Storybook": "StorybookJS",
+    "UI/UX": "Thiết kế giao diện người dùng|UX UI",
+    "Embedded C": "Embedded-C",
+    "FPGA": "Thiết kế FPGA",
+    "RTOS": "FreeRTOS|Real-time operating system",
+    "Verilog": "SystemVerilog|Verilog HDL",
+    ".NET": "Dot Net|.NET Core",
+    "Debezium": "Debezium connector",
+    "Design Patterns": "Software design pattern|Design pattern",
+    "Flutter": "Dart/Flutter",
+    "Microservices": "Kiến trúc microservice|Microservice architecture",
+    "Node.js": "Node|Node JS",
+    "REST API": "API REST|RESTful web services|RESTful",
+    "Spring Boot": "Java Spring Boot",
+    "Unity": "Unity engine",
+    "Vue.js": "Vue|Vue 3",
+    "C#": "CSharp|C# .NET language",
+    "C++": "C plus plus",
+    "CSS": "CSS3|Cascading style sheets",
+    "Data Structures and Algorithms": "Cấu trúc dữ liệu và giải thuật",
+    "JCL": "Job control language",
+    "Java": "Core Java",
+    "JavaScript": "ECMAScript",
+    "Object-Oriented Programming": "OOP|Lập trình hướng đối tượng",
+    "Python": "Py",
+    "TypeScript": "TS",
+    "Communication": "Giao tiếp|Kỹ năng giao tiếp",
+    "Critical Thinking": "Critical-thinking ability",
+    "English": "Anh văn|Ngoại ngữ tiếng Anh|IELTS|TOEIC",
+    "Japanese": "Tiếng Nhật|JLPT N1|JLPT N2|JLPT N3|JLPT N4",
+    "Leadership": "Team leadership",
+    "Presentation": "Presenting",
+    "Teamwork": "Working in a team",
+    "Time Management": "Managing time",
+    "Automation Testing": "Test automation",
+    "Manual Testing": "Test thủ công|Kiểm thử thủ công",
+}
+
+
+def keys(ids: dict[str, int], aliases: dict[str, str]) -> list[tuple[int, str]]:
+    """(entry id, alias) for the canonical names in `ids`."""
+    return [(ids[name], alias) for name, joined in aliases.items() if name in ids for alias in joined.split("|")]
