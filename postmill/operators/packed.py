@@ -70,7 +70,7 @@ def protect(text: Column) -> Column:
 
 
 def _trim(text: Column) -> Column:
-    return F.regexp_replace(text, r"^[\s ]+|[\s ]+$", "")
+    return F.regexp_replace(text, r"^[\s\u00a0\u3000]+|[\s\u00a0\u3000]+$", "")
 
 
 def restore(piece: Column) -> Column:

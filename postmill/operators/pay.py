@@ -83,7 +83,7 @@ def unit_of(text: Column) -> Column:
 
 def clean_pay(text: Column) -> Column:
     """Lower-cased pay text without remarks on extra months, bonuses or tax; spaces of any kind become one blank."""
-    t = F.lower(F.translate(text, "   　\t\r\n", "       "))
+    t = F.lower(F.translate(text, "\u00a0\u202f\u2007\u2009\u3000\t\r\n", " " * 8))
     t = F.regexp_replace(t, r"\([^)]*\)", " ")
     t = F.regexp_replace(t, r"\+\s*(?=\p{L}|\d+(st|nd|rd|th)\b|\d+\s*(tháng|months?)).*$", " ")
     t = F.regexp_replace(t, r"\b\d+\s*(st|nd|rd|th|months?|tháng lương|tháng)\b.*$", " ")
