@@ -78,7 +78,7 @@ def associations(baskets: DataFrame, n_records: DataFrame, items: str = "items")
     return (
         pairs.join(single.select("item_a", F.col("n").alias("n_a")), "item_a")
         .join(single.select("item_b", F.col("n").alias("n_b")), "item_b")
-        .crossJoin(F.broadcast(total))  # one row
+        .withColumn("n", total.scalar())
         .withColumn("lift", F.col("n") * F.col("n_ab") / (F.col("n_a").cast("double") * F.col("n_b")))
         .select("item_a", "item_b", "n_ab", "n_a", "n_b", "n", "lift")
     )

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmill.llm import encoding, entries, lexicon, pairs
-from postmill.session import table
+from postmill.llm import consensus, encoding, entries, language, lexicon, pairs
+from postmill.session import checkpointed, table
 
 #: Rows read of a reference list; it is a vocabulary, sent to every task.
 MAX_REFERENCE_ROWS = 100_000
-_NOT_BLANK = r"[^\s 　​]"
+_NOT_BLANK = r"[^\s\u00a0\u3000\u200b\ufeff]"
 
 
 def _reference(spark: SparkSession, base: str, name: str) -> tuple[dict[str, int], list[tuple[int, str]]]:
@@ -35,6 +35,35 @@ def skill_id(spark: SparkSession, base: str, value: Column) -> Column:
     return entries.entry_udf(_reference(spark, base, "skill_reference")[1], entries.skill_forms)(value)
 
 
+#: Labels a mention needs to be reported.
+MIN_LABELS = 3
+
+
+def _votes(spark: SparkSession, base: str) -> DataFrame:
+    latest = consensus.latest_submissions(table(spark, base, "annotations_unified"), "record_id", "annotator", "submitted_at", "skills")
+    mentions = latest.select("record", "annotator", F.explode("skills").alias("s")).select("record", "annotator", F.col("s.mention_no").alias("mention_no"), F.col("s.label").alias("label"))
+    return consensus.votes_of(mentions, consensus.required_vote(F.col("label")))
+
+
+def p2_found(spark: SparkSession, base: str) -> DataFrame:
+    """The consensus label of every mention with at least three labels."""
+    items, _ = consensus.consensus(checkpointed(_votes(spark, base)))
+    label = F.when(F.col("vote") > 0, "required_skill").otherwise("preferred_skill")
+    return items.filter(F.col("n_votes") >= MIN_LABELS).select(F.col("record").alias("record_id"), "mention_no", label.alias("label"))
+
+
+def p2_annotators(spark: SparkSession, base: str) -> DataFrame:
+    """Every annotator's votes and reliability."""
+    _, annotators = consensus.consensus(checkpointed(_votes(spark, base)))
+    return annotators.select("annotator", "n_votes", *(F.round(c, 6).alias(c) for c in ("sens", "spec", "reliability")))
+
+
+def p2_agreement(spark: SparkSession, base: str) -> DataFrame:
+    """How well the annotators agree beyond chance (Krippendorff's alpha)."""
+    alpha = consensus.krippendorff_alpha(_votes(spark, base), ["record", "mention_no"], "vote")
+    return alpha.select("n_items", "n_ratings", *(F.round(c, 9).alias(c) for c in ("observed", "expected", "alpha")))
+
+
 def p3_found(spark: SparkSession, base: str) -> DataFrame:
     """The entry of title_reference or skill_reference that each free value means, 0 if none."""
     titles, skills = (list(_reference(spark, base, x)[0]) for x in ("title_reference", "skill_reference"))
@@ -86,6 +115,30 @@ def p6_categories(spark: SparkSession, base: str) -> DataFrame:
     )
 
 
+def _all_texts(spark: SparkSession, base: str) -> DataFrame:
+    """(field, item_id, text, label): documents.text and both text fields of raw_jobs_itviec; repeated rows count once."""
+    jobs = table(spark, base, "raw_jobs_itviec")
+    docs = table(spark, base, "documents").select(F.lit("text").alias("field"), F.col("doc_id").alias("item_id"), "text", F.col("lang").alias("label"))
+    fields = [jobs.select(F.lit(c).alias("field"), F.col("posting_id").alias("item_id"), F.col(c).alias("text"), F.col("page_lang").alias("label")) for c in ("job_description", "requirement")]
+    return docs.unionByName(fields[0]).unionByName(fields[1])
+
+
+def _segments(spark: SparkSession, base: str) -> DataFrame:
+    texts = _all_texts(spark, base)
+    sample = [(r.text, r.lang) for r in language.labelled_sample(texts, "text", "label").collect()]  # bounded by its parameters
+    return language.languages_of(texts, language.fit([t for t, _ in sample], [x for _, x in sample]))
+
+
+def p7_found(spark: SparkSession, base: str) -> DataFrame:
+    """The main language of texts whose label is missing or wrong (para_no 0), and of each paragraph of mixed texts."""
+    found = _segments(spark, base)
+    wrong = F.col("label").isNull() | (F.col("label") != F.col("main"))
+    main = F.when(wrong, F.array(F.struct(F.lit(0).alias("para_no"), F.col("main").alias("lang")))).otherwise(F.array().cast("array<struct<para_no:int,lang:string>>"))
+    parts = F.when(F.col("mixed"), F.transform(F.filter("parts", lambda p: p["lang"].isNotNull()), lambda p: F.struct(p["para_no"].alias("para_no"), p["lang"].alias("lang"))))
+    rows = found.select("field", "item_id", F.explode(F.concat(main, F.coalesce(parts, F.array().cast("array<struct<para_no:int,lang:string>>")))).alias("x"))
+    return rows.select("field", "item_id", "x.para_no", "x.lang").distinct()
+
+
 TOKENIZER = "byte_bpe_50k"
 
 
@@ -94,4 +147,4 @@ def p8_ids(spark: SparkSession, base: str) -> DataFrame:
     return encoding.encode_corpus(table(spark, base, "documents"), "doc_id", "text", encoding.tokenizer_path(TOKENIZER))
 
 
-QUERIES = {"p3_found": p3_found, "p6_found": p6_found, "p6_categories": p6_categories, "p8_ids": p8_ids}
+QUERIES = {"p2_found": p2_found, "p2_annotators": p2_annotators, "p2_agreement": p2_agreement, "p3_found": p3_found, "p6_found": p6_found, "p6_categories": p6_categories, "p7_found": p7_found, "p8_ids": p8_ids}
