@@ -12,6 +12,7 @@ import base64
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -40,7 +41,9 @@ class Bpe:
         keys = np.array([k for k, _ in pairs], dtype=np.int64)
         order = np.argsort(keys)
         self.keys, self.merged = keys[order], np.array([r for _, r in pairs], dtype=np.int64)[order]
-        self.token_bytes = ranks
+        self._bytes = np.zeros(self.size, dtype=np.int64)
+        for token, rank in ranks.items():
+            self._bytes[rank] = len(token)
         self._reset()
 
     def _reset(self) -> None:
@@ -126,6 +129,10 @@ class Bpe:
         _, codes, per = self._codes(texts)
         return np.diff(np.r_[0, np.cumsum(self.length[codes])][np.r_[0, np.cumsum(per)]])
 
+    def byte_lengths(self) -> np.ndarray:
+        """Bytes of each token, by id."""
+        return self._bytes
+
     def words(self, text: str) -> tuple[list[str], np.ndarray]:
         """The words of one text and the number of tokens of each."""
         words, codes, _ = self._codes([text])
@@ -185,8 +192,6 @@ def encode_corpus(df: DataFrame, key: str, text: str, path: str, out: str = "ids
 
 def with_token_counts(df: DataFrame, text: str, path: str, out: str = "n_tokens") -> DataFrame:
     """`df` with the number of tokens of each text (0 for null and empty)."""
-    import pandas as pd
-
     @F.pandas_udf("long")
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         bpe = load(path)

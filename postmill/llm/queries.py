@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmill.llm import consensus, encoding, entries, language, lexicon, pairs
+from postmill.llm import consensus, encoding, entries, language, lexicon, mixing, pairs, splitting
 from postmill.session import checkpointed, table
 
 #: Rows read of a reference list; it is a vocabulary, sent to every task.
@@ -147,4 +147,39 @@ def p8_ids(spark: SparkSession, base: str) -> DataFrame:
     return encoding.encode_corpus(table(spark, base, "documents"), "doc_id", "text", encoding.tokenizer_path(TOKENIZER))
 
 
-QUERIES = {"p2_found": p2_found, "p2_annotators": p2_annotators, "p2_agreement": p2_agreement, "p3_found": p3_found, "p6_found": p6_found, "p6_categories": p6_categories, "p7_found": p7_found, "p8_ids": p8_ids}
+def _mix(spark: SparkSession, base: str) -> tuple[DataFrame, list[mixing.Share]]:
+    rows = table(spark, base, "source_weights").select("source", "target_share", "max_repeats").limit(mixing.MAX_SOURCES + 1).collect()
+    if len(rows) > mixing.MAX_SOURCES:
+        raise ValueError(f"more than {mixing.MAX_SOURCES} sources")
+    weights = [(r[0], r[1], r[2]) for r in rows]
+    docs = table(spark, base, "documents").select("doc_id", mixing.canonical_source(F.col("source")).alias("source"), "text")
+    docs = docs.filter(F.col("source").isin([w[0] for w in weights]))
+    sized = checkpointed(encoding.with_token_counts(docs, "text", encoding.tokenizer_path(TOKENIZER)).select("doc_id", "source", "n_tokens"))
+    available, largest = mixing.available_tokens(sized)
+    shares = mixing.plan(weights, available)
+    return mixing.mixture(sized, shares, largest), shares
+
+
+def p9_mix(spark: SparkSession, base: str) -> DataFrame:
+    """The mixture of all sources: each used copy of each document with its slot in the schedule."""
+    return _mix(spark, base)[0]
+
+
+def p9_shares(spark: SparkSession, base: str) -> DataFrame:
+    """Target and actual share of every source in the mixture."""
+    return mixing.report(*_mix(spark, base))
+
+
+def p10_pieces(spark: SparkSession, base: str) -> DataFrame:
+    """The pieces of every document over the limit of split_limits."""
+    limits = table(spark, base, "split_limits").select("tokenizer", "max_tokens", "overlap_tokens").first()
+    path = encoding.tokenizer_path(limits[0])
+    return splitting.split_oversized(table(spark, base, "documents"), "doc_id", "text", path, limits[1], limits[2])
+
+
+def p10_found(spark: SparkSession, base: str) -> DataFrame:
+    """Documents over the limit, those that the splitting operator cuts."""
+    return p10_pieces(spark, base).filter(F.col("piece_no") == 1).select("doc_id")
+
+
+QUERIES = {"p2_found": p2_found, "p2_annotators": p2_annotators, "p2_agreement": p2_agreement, "p3_found": p3_found, "p6_found": p6_found, "p6_categories": p6_categories, "p7_found": p7_found, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_pieces": p10_pieces}
