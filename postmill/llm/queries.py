@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmill.llm import consensus, encoding, entries, language, lexicon, mixing, pairs, splitting
+from postmill.llm import consensus, encoding, entries, language, lexicon, linkage, mixing, pairs, splitting
+from postmill.operators.pay import monthly_kvnd
 from postmill.session import checkpointed, table
 
 #: Rows read of a reference list; it is a vocabulary, sent to every task.
@@ -79,6 +80,20 @@ def p3_found(spark: SparkSession, base: str) -> DataFrame:
     return out.distinct()
 
 
+def p5_matches(spark: SparkSession, base: str) -> DataFrame:
+    """Postings of the two boards that are the same job, with a confidence."""
+    columns = ["posting_id", "company", "job_title", "location", "required_skills", "job_description", "crawled_at", "salary"]
+    boards = [table(spark, base, name).select(*columns, F.lit(i).alias("board")) for i, name in enumerate(("raw_jobs_itviec", "raw_jobs_topcv"))]
+    paid = monthly_kvnd(boards[0].unionByName(boards[1]), table(spark, base, "unit_factors")).drop("salary")
+    found = linkage.link(paid, _reference(spark, base, "title_reference")[1], _reference(spark, base, "skill_reference")[1])
+    return found.select(F.least("id_a", "id_b").alias("posting_id_a"), F.greatest("id_a", "id_b").alias("posting_id_b"), "score", "confidence")
+
+
+def p5_found(spark: SparkSession, base: str) -> DataFrame:
+    """Postings of the two boards that are the same job, the smaller id first."""
+    return p5_matches(spark, base).select("posting_id_a", "posting_id_b").distinct()
+
+
 def _skill_mentions(spark: SparkSession, base: str) -> DataFrame:
     """(row_id, item): each record's distinct skills by entry id, 0 for names that fit none."""
     flat = table(spark, base, "skills_flat").select("row_id", "skill_name")
@@ -182,4 +197,4 @@ def p10_found(spark: SparkSession, base: str) -> DataFrame:
     return p10_pieces(spark, base).filter(F.col("piece_no") == 1).select("doc_id")
 
 
-QUERIES = {"p2_found": p2_found, "p2_annotators": p2_annotators, "p2_agreement": p2_agreement, "p3_found": p3_found, "p6_found": p6_found, "p6_categories": p6_categories, "p7_found": p7_found, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_pieces": p10_pieces}
+QUERIES = {"p2_found": p2_found, "p2_annotators": p2_annotators, "p2_agreement": p2_agreement, "p3_found": p3_found, "p5_found": p5_found, "p5_matches": p5_matches, "p6_found": p6_found, "p6_categories": p6_categories, "p7_found": p7_found, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_pieces": p10_pieces}
