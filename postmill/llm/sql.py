@@ -2,4 +2,18 @@
 
 from __future__ import annotations
 
-ORACLES: dict[str, str] = {}
+from postmill.llm.consensus import PREFERRED, REQUIRED
+
+_LISTED = {k: ", ".join(f"'{x}'" for x in v) for k, v in (("yes", REQUIRED), ("no", PREFERRED))}
+_VOTES = f"""(select record_id, mention_no, annotator, round(avg(v)) as vote from
+ (select record_id, annotator, s.mention_no, case when x in ({_LISTED['yes']}) then 1.0 when x in ({_LISTED['no']}) then 0.0 end as v from
+ (select record_id, annotator, s, lower(trim(regexp_replace(s.label, '\\s+', ' ', 'g'))) as x from
+ (select record_id, annotator, unnest((list(skills order by submitted_at desc))[1]) as s from annotations_unified group by record_id, annotator)))
+ where v is not null group by all having avg(v) != 0.5)"""
+
+ORACLES: dict[str, str] = {
+    "p2_agreement": f"""with v as materialized (select * from {_VOTES}), i as (select record_id, mention_no, count(*) as m, sum(vote) as k from v group by all having count(*) >= 2),
+ t as (select count(*) as n_items, sum(m)::bigint as n_ratings, sum((m * m - k * k - (m - k) * (m - k)) / (m - 1)) as d, sum(k) as yes from i),
+ e as (select n_items, n_ratings, d / n_ratings as o, (n_ratings::double * n_ratings - yes * yes - (n_ratings - yes) * (n_ratings - yes)) / (n_ratings::double * (n_ratings - 1)) as e from t)
+ select n_items, n_ratings, round(o, 9) as observed, round(e, 9) as expected, round(1 - o / e, 9) as alpha from e""",
+}
