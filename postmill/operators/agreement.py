@@ -86,8 +86,8 @@ def cohen_kappa(matches: DataFrame, a: str, b: str) -> DataFrame:
     cols = cells.groupBy(F.col("b").alias("k")).agg(F.sum("n").alias("nb"))
     chance = rows.join(cols, "k").agg(F.coalesce(F.sum(F.col("na").cast("double") * F.col("nb")), F.lit(0.0)))
     out = total.withColumn("chance", chance.scalar())
-    po, pe = F.col("agree") / F.col("n"), F.col("chance") / (F.col("n").cast("double") * F.col("n"))
-    return out.select("n", F.round(po, 6).alias("observed"), F.round(pe, 6).alias("expected"), F.when(F.col("n") >= 2, F.when(pe >= 1, 1.0).otherwise(F.round((po - pe) / (1 - pe), 6))).alias("kappa"))
+    po, pe = F.try_divide("agree", "n"), F.try_divide(F.col("chance"), F.col("n").cast("double") * F.col("n"))
+    return out.select("n", F.round(po, 6).alias("observed"), F.round(pe, 6).alias("expected"), F.when(F.col("n") >= 2, F.when(pe >= 1, 1.0).otherwise(F.round(F.try_divide(po - pe, 1 - pe), 6))).alias("kappa"))
 
 
 def fleiss_kappa(ratings: DataFrame, item: list[str], label: str, k: int = 3) -> DataFrame:
@@ -97,8 +97,8 @@ def fleiss_kappa(ratings: DataFrame, item: list[str], label: str, k: int = 3) ->
     agree = full.agg(F.count("*").alias("items"), F.avg((F.col("squares") - k) / F.lit(k * (k - 1)).cast("double")).alias("p"))
     shares = full.select(F.explode("cells").alias("c")).groupBy("c.label").agg(F.sum("c.n").alias("n")).agg(F.sum(F.col("n").cast("double") * F.col("n")))
     out = agree.withColumn("s", shares.scalar())
-    pe = F.col("s") / (F.col("items").cast("double") * k * F.col("items") * k)
-    return out.select("items", F.when(pe >= 1, 1.0).otherwise(F.round((F.col("p") - pe) / (1 - pe), 6)).alias("kappa"))
+    pe = F.try_divide(F.col("s"), F.col("items").cast("double") * k * F.col("items") * k)
+    return out.select("items", F.when(pe >= 1, 1.0).otherwise(F.round(F.try_divide(F.col("p") - pe, 1 - pe), 6)).alias("kappa"))
 
 
 def error_cases(matches: DataFrame, left: str, right: str) -> DataFrame:

@@ -178,7 +178,11 @@ def _weak_parts(pieces: DataFrame, known: DataFrame) -> DataFrame:
     A run of up to three slash-joined parts that is a known value stays whole, as does the entire piece.
     """
     distinct = pieces.select("source", "piece", "weak").distinct().withColumn("parts", _pieces(F.col("piece"), F.col("weak")))
-    runs = [F.transform(F.sequence(F.lit(1), F.size("parts")), lambda i, k=k: F.array_join(F.slice("parts", i, F.lit(k)), "/")) for k in (2, 3)]
+
+    def joined(k: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.size("parts")), lambda i: F.array_join(F.slice("parts", i, F.lit(k)), "/"))
+
+    runs = [joined(k) for k in (2, 3)]
     tried = distinct.select("source", "piece", "weak", F.explode(F.array_distinct(F.concat(F.array("piece"), *runs))).alias("run")).withColumn("key", value_key(F.col("run")))
     hits = tried.join(known, ["source", "key"], "left_semi").groupBy("source", "piece", "weak").agg(F.collect_set("key").alias("keys"))
     with_keys = distinct.join(hits, ["source", "piece", "weak"], "left").withColumn("keys", F.coalesce("keys", F.array().cast("array<string>")))

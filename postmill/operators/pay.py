@@ -104,7 +104,7 @@ def amounts(cleaned: Column) -> Column:
         head = F.regexp_replace(F.when(tail != "", F.regexp_replace(x, r"[.,]\d{1,2}$", "")).otherwise(x), r"[^\d]", "")
         plain = F.regexp_replace(x, ",", ".")
         text = F.when(grouped & (tail != ""), F.concat(head, F.lit("."), tail)).when(grouped, head).otherwise(plain)
-        return text.cast("decimal(18,6)")
+        return text.try_cast("decimal(18,6)")
 
     return F.transform(found, value)
 
@@ -130,7 +130,7 @@ def parse_pay(df: DataFrame, salary: str = "salary", description: str = "job_des
     description names one.
     """
     t = clean_pay(F.col(salary))
-    df = df.withColumn("__pay", F.when(t.rlike(r"\d"), t)).withColumn("__amounts", amounts(F.col("__pay")))
+    df = df.drop("pay_low", "pay_high", "pay_unit").withColumn("__pay", F.when(t.rlike(r"\d"), t)).withColumn("__amounts", amounts(F.col("__pay")))
     one, two = F.try_element_at("__amounts", F.lit(1)), F.try_element_at("__amounts", F.lit(2))
     single = F.size("__amounts") == 1
     pay = F.col("__pay")
@@ -148,16 +148,18 @@ def parse_pay(df: DataFrame, salary: str = "salary", description: str = "job_des
 def monthly_kvnd(df: DataFrame, factors: DataFrame, salary: str = "salary", description: str = "job_description") -> DataFrame:
     """Add low_kvnd and high_kvnd (long, thousand VND a month; 0 = bound not stated) to postings.
 
-    Both are null when no amount is stated or its unit can't be told. `factors` (unit, kind, numer, denom) is a
+    Both are null when no amount is stated or its unit can't be told. Columns of these names and of those that
+    parse_pay adds are replaced, repeated rows stay repeated. `factors` (unit, kind, numer, denom) is a
     table of units: its rows are read to the driver to build the graph, at most a few hundred.
     """
     spark: SparkSession = df.sparkSession
     rows = [tuple(r) for r in factors.filter(F.col("kind").isin("currency", "period")).select("unit", "kind", "numer", "denom").limit(10_000).collect()]
+    df = df.drop("low_kvnd", "high_kvnd", "pay_low", "pay_high", "pay_unit")
     conversions = pay_units(rows).table(spark, [TARGET])
     parsed = parse_pay(df, salary, description)
     out = convert(parsed, conversions, TARGET, {"pay_low": "__low", "pay_high": "__high"}, "pay_unit")
     stated = F.col("__low").isNotNull() | F.col("__high").isNotNull()
     return out.select(
         *(out[c] for c in df.columns),
-        *(F.when(stated, F.coalesce(F.round(F.col(c)).cast("long"), F.lit(0))).alias(name) for c, name in (("__low", "low_kvnd"), ("__high", "high_kvnd"))),
+        *(F.when(stated, F.coalesce(F.round(F.col(c)).try_cast("long"), F.lit(0))).alias(name) for c, name in (("__low", "low_kvnd"), ("__high", "high_kvnd"))),
     )

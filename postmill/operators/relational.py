@@ -116,7 +116,7 @@ def value_counts(df: DataFrame, column: str, with_null: bool = True) -> DataFram
     rows = df if with_null else df.filter(F.col(column).isNotNull())
     counts = rows.groupBy(column).count()
     total = rows.agg(F.count("*"))
-    return counts.withColumn("pct", F.round(F.col("count") * 100.0 / total.scalar(), 2))
+    return counts.withColumn("pct", F.round(F.try_divide(F.col("count") * 100.0, total.scalar()), 2))
 
 
 def missing_profile(df: DataFrame, list_columns: tuple[str, ...] = (), digit_columns: tuple[str, ...] = ()) -> DataFrame:

@@ -52,7 +52,7 @@ def alias_stats(before: DataFrame, after: DataFrame, key: str, skill: str = "ski
     pairs = before.select(key, F.col(skill).alias("old")).join(after.select(key, F.col(skill).alias("new")), key)
     return pairs.agg(
         F.count("*").alias("mentions"), F.count_if(F.col("old") != F.col("new")).alias("changed"), F.countDistinct("old").alias("distinct_before"), F.countDistinct("new").alias("distinct_after")
-    ).withColumn("changed_pct", F.round(F.col("changed") * 100.0 / F.col("mentions"), 2))
+    ).withColumn("changed_pct", F.round(F.try_divide(F.col("changed") * 100.0, F.col("mentions")), 2))
 
 
 def aggregate_skills(mentions: DataFrame) -> DataFrame:
