@@ -122,10 +122,10 @@ def krippendorff_alpha(votes: DataFrame, item: list[str], label: str) -> DataFra
     totals = items.agg(F.count("*").alias("n_items"), F.sum("m").alias("n_ratings"), F.sum("disagree").alias("disagree"))
     marginals = items.select(F.explode("labels").alias("x")).groupBy("x.label").agg(F.sum("x.n").alias("n")).agg(F.sum(F.col("n").cast("double") * F.col("n")).alias("squares"))
     n = F.col("n_ratings").cast("double")
-    observed = F.col("disagree") / n
-    expected = (n * n - F.col("squares")) / (n * (n - 1))
+    observed = F.try_divide(F.col("disagree"), n)
+    expected = F.try_divide(n * n - F.col("squares"), n * (n - 1))
     both = totals.withColumn("squares", marginals.scalar())
-    return both.select("n_items", F.coalesce("n_ratings", F.lit(0)).alias("n_ratings"), observed.alias("observed"), expected.alias("expected"), F.when(expected > 0, 1 - observed / expected).when(n > 0, 1.0).alias("alpha"))
+    return both.select("n_items", F.coalesce("n_ratings", F.lit(0)).alias("n_ratings"), observed.alias("observed"), expected.alias("expected"), F.when(expected > 0, 1 - F.try_divide(observed, expected)).when(n > 0, 1.0).alias("alpha"))
 
 
 #: Spellings of the two labels, folded to lower case with single blanks. Fixed vocabulary.

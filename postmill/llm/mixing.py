@@ -126,4 +126,4 @@ def report(mixed: DataFrame, shares: list[Share], key: str = "doc_id") -> DataFr
     got = mixed.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.sum((F.col("copy") == 1).cast("long")).alias("documents"), F.max("copy").alias("most_repeats"))
     total = got.agg(F.sum("tokens"))
     out = targets.join(F.broadcast(got), "source", "left").select("source", "target_share", "max_repeats", "available_tokens", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("tokens", "documents", "most_repeats")))
-    return out.withColumn("actual_share", F.round(F.col("tokens") / total.scalar(), 6))
+    return out.withColumn("actual_share", F.round(F.try_divide(F.col("tokens"), total.scalar()), 6))
