@@ -40,10 +40,6 @@ def pay_units(factors: list[tuple[str, str, int, int]]) -> UnitGraph:
     return UnitGraph(edges)
 
 
-def _has(text: Column, pattern: str) -> Column:
-    return text.rlike(pattern)
-
-
 #: Words that name a currency, a scale or a period, in the languages of the boards. Fixed vocabulary.
 CURRENCY_WORDS = [
     ("SGD", r"(?<!u)s\$|sgd|đô la sing|singapore dollar"),
@@ -67,18 +63,21 @@ PERIOD_WORDS = [
 def _first(text: Column, words: list[tuple[str, str]], default: str | None) -> Column:
     out = F.lit(default)
     for name, pattern in reversed(words):
-        out = F.when(text.rlike("(?U)" + pattern), F.lit(name)).otherwise(out)
+        out = F.when(text.rlike(pattern), F.lit(name)).otherwise(out)
     return out
 
 
+def _unit(scale: Column, currency: Column, period: Column) -> Column:
+    named = F.coalesce(currency, F.when(scale == "m", F.lit("VND")))
+    return F.when(named.isNotNull(), F.concat(scale, F.lit(" "), named, F.lit("/"), period))
+
+
 def unit_of(text: Column) -> Column:
     """"scale currency/period" named in a text, null when it names neither a currency nor a scale.
 
-    A scale of million or thousand without a currency means VND; a period that isn't named is the month.
+    A scale of million without a currency means VND; a period that isn't named is the month.
     """
-    scale = _first(text, SCALE_WORDS, "")
-    currency = F.coalesce(_first(text, CURRENCY_WORDS, None), F.when(scale.isin("m"), F.lit("VND")))
-    return F.when(currency.isNotNull(), F.concat(scale, F.lit(" "), currency, F.lit("/"), _first(text, PERIOD_WORDS, "month")))
+    return _unit(_first(text, SCALE_WORDS, ""), _first(text, CURRENCY_WORDS, None), _first(text, PERIOD_WORDS, "month"))
 
 
 def clean_pay(text: Column) -> Column:
@@ -117,7 +116,7 @@ PAY_SENTENCE = r"lương|(?<!chat )(?<!so )(?<!dung )\bluong\b(?! du lieu)|salar
 
 def pay_sentence(description: Column) -> Column:
     """The first sentence of a description that speaks of pay and names a unit, lower-cased; null if none does."""
-    sentences = F.filter(F.split(F.lower(description), r"[.!?。\r\n]+"), lambda s: s.rlike("(?U)" + PAY_SENTENCE))
+    sentences = F.filter(F.split(F.lower(description), r"[.!?。\r\n]+"), lambda s: s.rlike(PAY_SENTENCE))
     return F.try_element_at(F.filter(sentences, lambda s: unit_of(s).isNotNull()), F.lit(1))
 
 
@@ -130,15 +129,20 @@ def parse_pay(df: DataFrame, salary: str = "salary", description: str = "job_des
     description names one.
     """
     t = clean_pay(F.col(salary))
-    df = df.drop("pay_low", "pay_high", "pay_unit").withColumn("__pay", F.when(t.rlike(r"\d"), t)).withColumn("__amounts", amounts(F.col("__pay")))
+    df = df.drop("pay_low", "pay_high", "pay_unit").withColumn("__clean", t)
+    df = df.withColumn("__pay", F.when(F.col("__clean").rlike(r"\d"), F.col("__clean"))).drop("__clean")
+    pay = F.col("__pay")
+    # one column per test: each is used more than once below and none is evaluated twice
+    parts = {"scale": _first(pay, SCALE_WORDS, ""), "currency": _first(pay, CURRENCY_WORDS, None), "period": _first(pay, PERIOD_WORDS, "month"), "up": pay.rlike(UP_TO), "least": pay.rlike(AT_LEAST), "amounts": amounts(pay)}
+    names = [f"__{n}" for n in parts]
+    df = df.withColumns({f"__{n}": e for n, e in parts.items()})
     one, two = F.try_element_at("__amounts", F.lit(1)), F.try_element_at("__amounts", F.lit(2))
     single = F.size("__amounts") == 1
-    pay = F.col("__pay")
-    up, least = pay.rlike("(?U)" + UP_TO), pay.rlike("(?U)" + AT_LEAST)
-    own = unit_of(pay)
+    up, least = F.col("__up"), F.col("__least")
     # a scale letter alone, as in "20K", doesn't tell the currency: the description does
+    own = _unit(F.col("__scale"), F.col("__currency"), F.col("__period"))
     return df.select(
-        *(df[c] for c in df.columns if c not in ("__pay", "__amounts")),
+        *(df[c] for c in df.columns if c not in ("__pay", *names)),
         F.when(single & up, F.lit(None)).otherwise(F.when(F.size("__amounts") >= 1, one)).alias("pay_low"),
         F.when(single & least & ~up, F.lit(None)).when(single, one).otherwise(two).alias("pay_high"),
         F.when(pay.isNotNull(), F.coalesce(own, unit_of(pay_sentence(F.col(description))))).alias("pay_unit"),

@@ -45,14 +45,3 @@ def checkpointed(df: DataFrame, eager: bool = True) -> DataFrame:
 def within_broadcast_bound(df: DataFrame, max_rows: int) -> bool:
     """Whether `df` has at most `max_rows` rows; reads at most one row more than that."""
     return len(df.limit(max_rows + 1).take(max_rows + 1)) <= max_rows
-
-
-def spread(df: DataFrame, min_rows_per_task: int = 2000) -> DataFrame:
-    """Give a Python-heavy scan at least one task per core.
-
-    Small inputs arrive in few splits, which would leave cores idle; at scale the scan has more splits than
-    cores and nothing is shuffled.
-    """
-    sc = df.sparkSession.sparkContext
-    want = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), sc.defaultParallelism)
-    return df if df.rdd.getNumPartitions() >= sc.defaultParallelism else df.repartition(want)
