@@ -20,6 +20,8 @@ from postmill.session import checkpointed
 MAX_BROADCAST_ANNOTATORS = 100_000
 #: Imaginary votes per annotator and true label before any is seen, and the share of them that is right.
 PRIOR_VOTES, PRIOR_RIGHT = 10.0, 0.75
+#: Reliabilities stay within [LEAST, 1 - LEAST].
+LEAST = 0.02
 MAX_ROUNDS, STABLE = 15, 1e-3
 
 
@@ -46,6 +48,18 @@ def votes_of(items: DataFrame, label: Column) -> DataFrame:
     return mean.filter(F.col("vote") != 0.5).withColumn("vote", F.round("vote"))
 
 
+def _solve(pp: float, pq: float, qq: float, pv: float, qv: float) -> tuple[float, float]:
+    """(sens, spec) by least squares of an annotator's votes on the others' posterior p: vote = sens * p + (1 - spec) * (1 - p).
+
+    The plain shares of votes would be pulled towards each other, because the others' consensus is uncertain. The
+    imaginary prior votes smooth the estimate; it is kept off 0 and 1.
+    """
+    a, d, x, y = pp + PRIOR_VOTES, qq + PRIOR_VOTES, pv + PRIOR_VOTES * PRIOR_RIGHT, qv + PRIOR_VOTES * (1 - PRIOR_RIGHT)
+    det = a * d - pq * pq
+    sens, false = (x * d - y * pq) / det, (y * a - x * pq) / det
+    return min(max(sens, LEAST), 1 - LEAST), min(max(1 - false, LEAST), 1 - LEAST)
+
+
 def consensus(votes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(items, annotators) from rows (record, mention_no, annotator, vote).
 
@@ -83,13 +97,10 @@ def consensus(votes: DataFrame) -> tuple[DataFrame, DataFrame]:
         each = rows.select("score", F.explode(F.arrays_zip("votes", "own")).alias("v")).select(
             F.col("v.votes.annotator").alias("annotator"), F.col("v.votes.vote").alias("vote"), (1 / (1 + F.exp(-(F.col("score") - F.col("v.own"))))).alias("p")
         )
-        sums = each.groupBy("annotator").agg(
-            F.sum("p").alias("yes"), F.sum(F.col("p") * F.col("vote")).alias("yes_right"), F.sum(1 - F.col("p")).alias("no"), F.sum((1 - F.col("p")) * (1 - F.col("vote"))).alias("no_right")
-        )
+        p, q, v = F.col("p"), 1 - F.col("p"), F.col("vote")
+        sums = each.groupBy("annotator").agg(*(F.sum(x).alias(n) for n, x in (("pp", p * p), ("pq", p * q), ("qq", q * q), ("pv", p * v), ("qv", q * v), ("yes", p), ("no", q))))
         found = sums.collect()  # one row per annotator, at most MAX_BROADCAST_ANNOTATORS
-        new = {
-            r.annotator: tuple((right + PRIOR_VOTES * PRIOR_RIGHT) / (n + PRIOR_VOTES) for n, right in ((r.yes, r.yes_right), (r.no, r.no_right))) for r in found
-        }
+        new = {r.annotator: _solve(r.pp, r.pq, r.qq, r.pv, r.qv) for r in found}
         moved = max((abs(a - b) for k in new for a, b in zip(new[k], state[k])), default=0.0)
         state.update(new)
         if found:
