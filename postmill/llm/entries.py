@@ -13,26 +13,36 @@ import unicodedata
 from collections import OrderedDict
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: A reference list above this many keys is refused: it is sent to every task.
 MAX_REFERENCE_KEYS = 2_000_000
+#: Lists up to this size get the table of letter pairs that spares hopeless searches.
+MAX_PAIR_KEYS = 5_000
 #: Values a task remembers.
 CACHE_SIZE = 200_000
 
 
+_BLANKS = re.compile(r"[\s_]+")
+_MARKS = re.compile(r"[\s\-./'’&,()\[\]:;|]+")
+_JOINTS = re.compile(r"[\s\-/.]+")
+
+
 def fold(text: str) -> str:
     """Lower case without accents, format characters or repeated blanks; đ counts as d."""
+    if text.isascii():
+        return _BLANKS.sub(" ", text.lower()).strip()
     t = unicodedata.normalize("NFKD", text.lower().replace("đ", "d"))
     t = "".join(c for c in t if not unicodedata.combining(c) and unicodedata.category(c) != "Cf")
-    return re.sub(r"[\s_]+", " ", t).strip()
+    return _BLANKS.sub(" ", t).strip()
 
 
 def compact(folded: str) -> str:
     """A folded text without blanks and joining marks; + and # are kept, they tell C++ and C# from C."""
-    return re.sub(r"[\s\-./'’&,()\[\]:;|]+", "", folded)
+    return _MARKS.sub("", folded)
 
 
 def tolerance(length: int) -> int:
@@ -46,13 +56,16 @@ class Trie:
     def __init__(self) -> None:
         self.next: list[dict[str, int]] = [{}]
         self.entries: list[list[tuple[int, str]]] = [[]]
+        self.lengths: list[list[int]] = [[1 << 30, 0]]  # shortest and longest key below each node
         self.n_keys = 0
+        self.pairs: dict[str, np.ndarray] | None = None
 
     def add(self, key: str, entry: int, spaced: str) -> None:
         """Add a key; `spaced` is its form with blanks."""
         if not key:
             return
         at = 0
+        n = len(key)
         for c in key:
             to = self.next[at].get(c)
             if to is None:
@@ -60,6 +73,9 @@ class Trie:
                 self.next[at][c] = to
                 self.next.append({})
                 self.entries.append([])
+                self.lengths.append([n, n])
+            span = self.lengths[to]
+            span[0], span[1] = min(span[0], n), max(span[1], n)
             at = to
         if (entry, spaced) not in self.entries[at]:
             self.entries[at].append((entry, spaced))
@@ -67,6 +83,23 @@ class Trie:
             if self.n_keys > MAX_REFERENCE_KEYS:
                 raise ValueError(f"the reference list has more than {MAX_REFERENCE_KEYS} keys")
 
+    def plausible(self, key: str, limit: int) -> bool:
+        """Whether some key can lie within `limit` edits: one edit changes at most three pairs of neighbouring letters.
+
+        A necessary condition, so no entry is lost; for lists above MAX_PAIR_KEYS keys it isn't used.
+        """
+        need = len(key) - 1 - 3 * limit
+        if need <= 0 or self.n_keys > MAX_PAIR_KEYS:
+            return True
+        if self.pairs is None:
+            keys = sorted({compact(s) for es in self.entries for _, s in es})
+            self.pairs = {}
+            for i, k in enumerate(keys):
+                for x in {k[j : j + 2] for j in range(len(k) - 1)}:
+                    self.pairs.setdefault(x, np.zeros(len(keys), dtype=np.int16))[i] = 1
+        rows = [r for j in range(len(key) - 1) if (r := self.pairs.get(key[j : j + 2])) is not None]
+        return len(rows) >= need and bool((np.sum(rows, axis=0) >= need).any())
+
     def exact(self, key: str) -> list[tuple[int, str]]:
         at = 0
         for c in key:
@@ -79,31 +112,45 @@ class Trie:
     def search(self, key: str, limit: int) -> list[tuple[int, int, str]]:
         """All (distance, entry, spaced key) within `limit` edits of `key`.
 
-        The automaton's state is the band of edit distances between the trie path and the prefixes of `key`;
-        a state all above `limit` is dead and its subtree is skipped. A swap of neighbours is one edit.
+        The automaton's state after a trie path of length i is the band of edit distances to the prefixes of
+        `key` of lengths i - limit to i + limit; a state all above `limit` is dead and its subtree is skipped, as
+        are subtrees whose keys are too short or too long. A swap of neighbours is one edit.
         """
-        n = len(key)
+        n, width = len(key), 2 * limit + 1
+        dead = limit + 1
         found: list[tuple[int, int, str]] = []
-        stack = [(child, c, "", tuple(range(n + 1)), None) for c, child in self.next[0].items()]
+        start = tuple(j if 0 <= j <= n else dead for j in range(-limit, limit + 1))
+        stack = [(child, c, "", start, None, 1) for c, child in self.next[0].items()]
         while stack:
-            node, c, last, row, before = stack.pop()
-            cur = [row[0] + 1]
-            least = cur[0]
-            for j in range(1, n + 1):
-                d = row[j - 1] + (key[j - 1] != c)
-                if row[j] + 1 < d:
-                    d = row[j] + 1
-                if cur[j - 1] + 1 < d:
-                    d = cur[j - 1] + 1
-                if before is not None and j > 1 and c == key[j - 2] and last == key[j - 1] and before[j - 2] + 1 < d:
-                    d = before[j - 2] + 1
+            node, c, last, row, before, depth = stack.pop()
+            shortest, longest = self.lengths[node]
+            if shortest > n + limit or longest < n - limit:
+                continue
+            cur = []
+            left = dead
+            first = depth - limit  # the prefix length of the band's first cell
+            for t in range(width):
+                j = first + t
+                if j < 0 or j > n:
+                    d = dead
+                else:
+                    d = row[t] + (key[j - 1] != c) if j else dead
+                    if t + 1 < width and row[t + 1] + 1 < d:
+                        d = row[t + 1] + 1
+                    if left + 1 < d:
+                        d = left + 1
+                    if before is not None and j > 1 and c == key[j - 2] and last == key[j - 1] and before[t] + 1 < d:
+                        d = before[t] + 1
+                    if d > dead:
+                        d = dead
                 cur.append(d)
-                if d < least:
-                    least = d
-            if cur[n] <= limit:
-                found += [(cur[n], e, s) for e, s in self.entries[node]]
-            if least <= limit or (min(row) <= limit):
-                stack += [(child, x, c, tuple(cur), row) for x, child in self.next[node].items()]
+                left = d
+            end = n - first
+            if 0 <= end < width and cur[end] <= limit and self.entries[node]:
+                found += [(cur[end], e, s) for e, s in self.entries[node]]
+            if min(cur) <= limit or min(row) <= limit:
+                state = tuple(cur)
+                stack += [(child, x, c, state, row, depth + 1) for x, child in self.next[node].items()]
         return found
 
 
@@ -113,7 +160,7 @@ def _short_words_agree(a: str, b: str) -> bool:
     Short words bear the meaning (AI, BI, QA): swapped, doubled or lost letters are typing errors, other
     letters are other words.
     """
-    x, y = re.split(r"[\s\-/.]+", a), re.split(r"[\s\-/.]+", b)
+    x, y = _JOINTS.split(a), _JOINTS.split(b)
     if len(x) != len(y):
         return True
     return all(p == q or set(p) <= set(q) or set(q) <= set(p) for p, q in zip(x, y) if min(len(p), len(q)) <= 3)
@@ -141,8 +188,8 @@ class Matcher:
     def best(self, value: str | None) -> tuple[int, int]:
         """(entry, distance) of the closest entry, (0, -1) if none fits.
 
-        An exact form wins, the most complete first; else the smallest distance against the length, then the
-        longer key, then the smaller entry.
+        An exact form wins, the most complete first; else the smallest distance, then the longer key, then the
+        smaller entry.
         """
         if value is None or not value.strip():
             return 0, -1
@@ -155,17 +202,19 @@ class Matcher:
                 out = (min(e for e, _ in exact), 0)
                 break
         else:
-            best = None
-            for form in forms:
-                key = compact(form)
-                if not (k := tolerance(len(key))):
-                    continue
-                for d, e, s in self.trie.search(key, k):
-                    if tolerance(len(compact(s))) >= d and _short_words_agree(form, s):
-                        rank = (d / len(key), d, -len(s), e)
-                        if best is None or rank < best[0]:
-                            best = (rank, (e, d))
-            out = best[1] if best else out
+            keyed = {compact(f): f for f in reversed(forms)}
+            for limit in (1, 2):  # one edit is by far the most frequent: the wider search runs only where that fails
+                near = [
+                    (d, -len(s), e)
+                    for key, form in keyed.items()
+                    if tolerance(len(key)) >= limit and self.trie.plausible(key, limit)
+                    for d, e, s in self.trie.search(key, limit)
+                    if tolerance(len(compact(s))) >= d and _short_words_agree(form, s)
+                ]
+                if near:
+                    d, _, e = min(near)
+                    out = (e, d)
+                    break
         self.seen[value] = out
         if len(self.seen) > CACHE_SIZE:
             self.seen.popitem(last=False)
@@ -236,4 +285,5 @@ def entry_udf(keys: list[tuple[int, str]], forms: Callable[[str], list[str]]) ->
             ids = [matcher.best(u)[0] for u in uniques] + [0]  # code -1 (null) takes the last
             yield pd.Series([ids[c] for c in codes], dtype="int32")
 
-    return match
+    # a deterministic function would be evaluated once more for every filter that is pushed below it
+    return match.asNondeterministic()
