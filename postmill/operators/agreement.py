@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -15,6 +16,7 @@ JACCARD, RATIO = 0.5, 0.8
 LEAST_VALID, LOW, HIGH = 10, 2.5, 97.5
 
 
+@lru_cache(maxsize=200_000)
 def is_match(a: str, b: str) -> bool:
     """Whether two normalised names mean the same skill."""
     x, y = set(a.split()), set(b.split())
@@ -54,6 +56,35 @@ def match_records(mentions: DataFrame, left: str, right: str) -> DataFrame:
     return side(left).groupBy("record_id").cogroup(side(right).groupBy("record_id")).applyInPandas(match, schema)
 
 
+def three_way_match(mentions: DataFrame, a: str, b: str, c: str) -> DataFrame:
+    """(record_id, triple, name_a, name_b, name_c, label_a, label_b, label_c): skills that all three annotators name.
+
+    Each pair of match_records of `a` and `b` takes the first free mention of `c` that matches its name by `a`;
+    pairs without one go. `triple` numbers the triples of a record.
+    """
+
+    def match(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, y, z = (pdf[pdf["annotator"] == who].sort_values("ord").to_dict("records") for who in (a, b, c))
+        used_y: set[int] = set()
+        used_z: set[int] = set()
+        rows = []
+        for p in x:
+            j = next((k for k, q in enumerate(y) if k not in used_y and is_match(p["name"], q["name"])), None)
+            if j is None:
+                continue
+            used_y.add(j)
+            h = next((k for k, q in enumerate(z) if k not in used_z and is_match(p["name"], q["name"])), None)
+            if h is None:
+                continue
+            used_z.add(h)
+            rows.append((p["record_id"], len(rows), p["name"], y[j]["name"], z[h]["name"], p["label"], y[j]["label"], z[h]["label"]))
+        return pd.DataFrame(rows, columns=["record_id", "triple", "name_a", "name_b", "name_c", "label_a", "label_b", "label_c"])
+
+    schema = "record_id string, triple int, name_a string, name_b string, name_c string, label_a string, label_b string, label_c string"
+    rows = mentions.filter(F.col("annotator").isin(a, b, c)).select("record_id", "annotator", "ord", "name", "label")
+    return rows.groupBy("record_id").applyInPandas(match, schema)
+
+
 def match_equal(mentions: DataFrame, left: str, right: str) -> DataFrame:
     """Like match_records for equal names only, as a full join without Python; names must be unique within a list."""
     side = lambda who, s: mentions.filter(F.col("annotator") == who).select("record_id", "name", F.col("name").alias(f"name_{s}"), F.col("label").alias(f"label_{s}"), F.col("category").alias(f"category_{s}"))

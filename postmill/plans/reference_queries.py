@@ -400,6 +400,55 @@ def iaa_match(spark: SparkSession, base: str) -> DataFrame:
     return agreement.match_records(_annotations(spark, base), "human_a", "llm")
 
 
+# agreement by similar names, as annotators write them; the queries above compare equal names, which SQL can check
+
+
+def _listed(spark: SparkSession, base: str) -> DataFrame:
+    """(record_id, annotator, ord, name, label, category): the latest submissions, every mention in its order."""
+    rows = table(spark, base, "annotations_unified")
+    latest = rows.groupBy("record_id", "annotator").agg(F.max_by("skills", F.struct("submitted_at", F.to_json("skills"))).alias("skills"))
+    each = latest.select("record_id", "annotator", F.posexplode("skills").alias("ord", "s")).select(
+        "record_id", "annotator", "ord", text.skill_match_key(F.col("s.skill_name")).alias("name"), _label(F.col("s.label")).alias("label"), text.category_key(F.col("s.category")).alias("category")
+    )
+    return each.filter("name is not null and name != ''")
+
+
+def _similar(spark: SparkSession, base: str) -> DataFrame:
+    return agreement.match_records(_listed(spark, base), "human_a", "llm")
+
+
+def _similar_or_empty(spark: SparkSession, base: str) -> DataFrame:
+    """Every annotated record has a row, also one where neither names a skill: it counts as 0."""
+    records = table(spark, base, "annotations_unified").select("record_id").distinct()
+    return _similar(spark, base).unionByName(records, allowMissingColumns=True)
+
+
+def iaa_similar_f1(spark: SparkSession, base: str) -> DataFrame:
+    return agreement.macro_f1(_similar_or_empty(spark, base))
+
+
+def iaa_similar_kappa_label(spark: SparkSession, base: str) -> DataFrame:
+    return agreement.cohen_kappa(checkpointed(_similar(spark, base)), "label_a", "label_b")
+
+
+def iaa_similar_kappa_category(spark: SparkSession, base: str) -> DataFrame:
+    return agreement.cohen_kappa(checkpointed(_similar(spark, base)), "category_a", "category_b")
+
+
+def iaa_similar_confusion(spark: SparkSession, base: str) -> DataFrame:
+    return agreement.confusion(_similar(spark, base), "label_a", "label_b")
+
+
+def iaa_similar_errors(spark: SparkSession, base: str) -> DataFrame:
+    return agreement.error_cases(_similar(spark, base), "human_a", "llm").groupBy("error").agg(F.count("*").alias("n"))
+
+
+def iaa_similar_fleiss(spark: SparkSession, base: str) -> DataFrame:
+    triples = checkpointed(agreement.three_way_match(_listed(spark, base), "human_a", "human_b", "llm"))
+    ratings = triples.select("record_id", "triple", F.explode(F.array("label_a", "label_b", "label_c")).alias("label"))
+    return agreement.fleiss_kappa(ratings, ["record_id", "triple"], "label")
+
+
 def iaa_bootstrap(spark: SparkSession, base: str) -> DataFrame:
     same = agreement.both_sides(_pair(spark, base)).select((F.col("label_a") == F.col("label_b")).cast("double").alias("same"))
     return agreement.bootstrap_interval(same, "same", 200)
@@ -472,7 +521,8 @@ QUERIES = {
         dedup_first, dedup_last, surrogate_keys, star_schema, recrawl_needed, patch_recrawled, unprocessed_anti, merge_llm_titles, missing_profile, value_counts_pct, category_stats, title_stats,
         name_collisions, referential_check, split_halves, batching, calibration_sample, seeded_sample, skill_drop_reasons, skill_aggregate, alias_closure, alias_stats, dominant_vote, cluster_summary,
         canonical_mapping, skill_distribution, short_names, role_block, category_override, apply_overrides, cross_category, suggested_action, top_skills_per_category, embedding_edges,
-        embedding_components, embedding_clusters, iaa_f1, iaa_kappa_label, iaa_kappa_category, iaa_confusion, iaa_errors, iaa_fleiss, iaa_match, iaa_bootstrap, json_parse, json_errors, events_props,
+        embedding_components, embedding_clusters, iaa_f1, iaa_kappa_label, iaa_kappa_category, iaa_confusion, iaa_errors, iaa_fleiss, iaa_match, iaa_similar_f1, iaa_similar_kappa_label, iaa_similar_kappa_category,
+        iaa_similar_confusion, iaa_similar_errors, iaa_similar_fleiss, iaa_bootstrap, json_parse, json_errors, events_props,
         html_rows, stream_resume,
     )
 }

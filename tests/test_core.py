@@ -1,4 +1,7 @@
 import json
+import random
+from collections import Counter
+from datetime import datetime
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -7,6 +10,7 @@ from pyspark.sql import functions as F
 
 from postmill.functions import fields, html, json_skills, text, titles
 from postmill.operators import agreement, clusters, relational, skills
+from postmill.plans import reference_queries
 from postmill.sources import readers, sinks
 from postmill.streaming import jobs as streams
 
@@ -147,6 +151,51 @@ def test_agreement(spark):
     assert ci.low < ci.mean < ci.high and 0.4 < ci.low and ci.high < 0.6
 
 
+def test_similar_names_against_brute_force(spark, tmp_path):
+    rng = random.Random(3)
+    words = ["Python", "pythn", "React.js", "reactt", "Core Java", "java core", "SQL", "MySQL", "node js", "NodeJS", "docker", "dockers"]
+    lists = {(str(r), who): [(k, rng.choice(words), rng.choice(["required", "nice to have"]), "A / B") for k in range(rng.randint(0, 6))] for r in range(40) for who in ("human_a", "human_b", "llm")}
+    schema = "record_id string, annotator string, skills array<struct<mention_no int, skill_name string, label string, category string>>, submitted_at timestamp"
+    stamp = datetime(2025, 1, 1)
+    spark.createDataFrame([(r, who, s, stamp) for (r, who), s in lists.items()], schema).write.parquet(f"{tmp_path}/annotations_unified.parquet")
+
+    def key(name):
+        t = " ".join(name.lower().translate(str.maketrans("", "", ".-_/")).split())
+        return t if " " in t else next((t[: -len(x)] for x in ("js", "framework", "library") if t.endswith(x) and len(t) > len(x)), t)
+
+    def match(a, b):
+        x, y = set(a.split()), set(b.split())
+        return len(x & y) / len(x | y) >= 0.5 or SequenceMatcher(None, a, b).ratio() >= 0.8
+
+    def paired(a, b):
+        used_a, used_b, out = set(), set(), []
+        for i, j in [(i, j) for i in range(len(a)) for j in range(len(b)) if match(key(a[i][1]), key(b[j][1]))]:
+            if i not in used_a and j not in used_b:
+                used_a.add(i), used_b.add(j), out.append((a[i], b[j]))
+        return out
+
+    cells, triples, f1, n = Counter(), [], [], Counter()
+    for r in range(40):
+        a, b, c = (lists[str(r), who] for who in ("human_a", "human_b", "llm"))
+        pairs = paired(a, c)
+        cells.update((p[2], q[2]) for p, q in pairs)
+        n.update({"only_human_a": len(a) - len(pairs), "only_llm": len(c) - len(pairs), "label_disagreement": sum(p[2] != q[2] for p, q in pairs)})
+        f1.append(2 * len(pairs) / (len(a) + len(c)) if pairs else 0.0)
+        free = list(c)
+        for p, q in paired(a, b):
+            if (z := next((z for z in free if match(key(p[1]), key(z[1]))), None)) is not None:
+                free.remove(z), triples.append((p[2], q[2], z[2]))
+    q = {name: reference_queries.QUERIES[f"iaa_similar_{name}"](spark, str(tmp_path)) for name in ("f1", "kappa_label", "confusion", "errors", "fleiss")}
+    long = {"required": "required_skill", "nice to have": "preferred_skill"}
+    assert {(x.a, x.b): x.n for x in q["confusion"].collect()} == {(long[x], long[y]): k for (x, y), k in cells.items()}
+    assert {x.error: x.n for x in q["errors"].collect()} == {k: v for k, v in n.items() if v}
+    assert q["f1"].first().f1 == pytest.approx(sum(f1) / len(f1), abs=1e-5) and q["kappa_label"].first().n == sum(cells.values())
+    share = sum(t.count("required") for t in triples) / (3 * len(triples))
+    p, pe = sum(len(set(t)) == 1 or 1 / 3 for t in triples) / len(triples), share**2 + (1 - share) ** 2
+    fleiss = q["fleiss"].first()
+    assert fleiss["items"] == len(triples) and fleiss.kappa == pytest.approx((p - pe) / (1 - pe), abs=1e-5)
+
+
 def test_json_skills(spark):
     good = '{"skills": [{"skill_name": "A", "label": "bad", "category": "c", "min_years": "2.5", "level": "guru"}]}'
     cases = [(good, "ok", 1), (f"```json\n{good}\n```", "ok", 1), (good[:-2] + ",]}", "repaired", 1), (good[:-2] + ', {"skill_name": "B', "repaired", 1), (good[11:-1], "ok", 1), ("no", "unparsable", None), ("", "no_text", None), (None, "no_text", None)]
