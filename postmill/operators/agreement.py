@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from postmill.session import checkpointed
+
 #: Names match from this word overlap or this similarity of characters on. Fixed values.
 JACCARD, RATIO = 0.5, 0.8
 #: Bootstrap rounds that must give a number, and the percentiles of the interval.
@@ -167,6 +169,67 @@ def bootstrap_interval(values: DataFrame, value: str, rounds: int = 1000, seed:
     return means.agg(F.when(ok, F.percentile("m", F.lit(LOW / 100))).alias("low"), F.when(ok, F.percentile("m", F.lit(HIGH / 100))).alias("high")).withColumn("mean", mean.scalar()).select("mean", "low", "high")
 
 
+def resampled(cells: DataFrame, keys: list[str], rounds: int = 1000, seed: int = 42) -> DataFrame:
+    """(keys..., round, n): the counts `n` of each cell as every bootstrap round draws them.
+
+    n like rows that each draw a Poisson weight of mean 1 add up to one Poisson draw of mean n, so the cells, not
+    the rows, are drawn: work and shuffle are bounded by the number of different cells.
+    """
+    rows = cells.groupBy(*keys).agg(F.sum("n").alias("n")).withColumn("cell", F.xxhash64(*(F.col(k).cast("string") for k in keys)))
+    fields = [f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name in keys]
+
+    def draw(batches):
+        for pdf in batches:
+            for _, row in pdf.iterrows():
+                n = np.random.default_rng([seed, int(row["cell"]) & ((1 << 63) - 1)]).poisson(float(row["n"]), rounds)
+                yield pd.DataFrame({**{k: [row[k]] * rounds for k in keys}, "round": np.arange(rounds), "n": n.astype(np.float64)})
+
+    return rows.mapInPandas(draw, ", ".join([*fields, "round int", "n double"])).filter("n > 0")
+
+
+def _interval(rounds: DataFrame, measure: str, value: DataFrame, column: str) -> DataFrame:
+    """One row (measure, value, low, high) from a row (value) per round; nulls below LEAST_VALID rounds."""
+    ok = F.count("value") >= LEAST_VALID
+    low, high = (F.when(ok, F.percentile("value", F.lit(x / 100))) for x in (LOW, HIGH))
+    out = rounds.agg(low.alias("low"), high.alias("high")).withColumn("value", value.select(column).scalar())
+    return out.select(F.lit(measure).alias("measure"), "value", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
+
+
+def bootstrap_f1(matches: DataFrame, rounds: int = 1000, seed: int = 42) -> DataFrame:
+    """One row (measure, value, low, high): macro F1, records drawn."""
+    per = matches.groupBy("record_id").agg(F.count("name_a").alias("a"), F.count("name_b").alias("b"), F.count_if(F.col("name_a").isNotNull() & F.col("name_b").isNotNull()).alias("m"))
+    drawn = resampled(per.groupBy("a", "b", "m").agg(F.count("*").alias("n")), ["a", "b", "m"], rounds, seed)
+    f = F.coalesce(F.try_divide(2 * F.col("m"), F.col("a") + F.col("b")), F.lit(0.0))
+    means = drawn.groupBy("round").agg((F.sum(F.col("n") * f) / F.sum("n")).alias("value"))
+    return _interval(means, "f1", macro_f1(matches), "f1")
+
+
+def bootstrap_kappa(matches: DataFrame, a: str, b: str, measure: str, rounds: int = 1000, seed: int = 42) -> DataFrame:
+    """One row (measure, value, low, high): Cohen's kappa, matched pairs drawn."""
+    cells = confusion(matches, a, b).filter(F.col("a").isNotNull() & F.col("b").isNotNull())
+    drawn = checkpointed(resampled(cells, ["a", "b"], rounds, seed))
+    total = drawn.groupBy("round").agg(F.sum("n").alias("n"), F.coalesce(F.sum(F.when(F.col("a") == F.col("b"), F.col("n"))), F.lit(0.0)).alias("agree"))
+    rows, cols = (drawn.groupBy("round", F.col(x).alias("k")).agg(F.sum("n").alias(f"n{x}")) for x in ("a", "b"))
+    chance = rows.join(cols, ["round", "k"]).groupBy("round").agg(F.sum(F.col("na") * F.col("nb")).alias("chance"))
+    po, pe = F.col("agree") / F.col("n"), F.coalesce("chance", F.lit(0.0)) / (F.col("n") * F.col("n"))
+    kappas = total.join(chance, "round", "left").select("round", F.when(F.col("n") >= 2, F.when(pe >= 1, 1.0).otherwise(F.try_divide(po - pe, 1 - pe))).alias("value"))
+    return _interval(kappas, measure, cohen_kappa(matches, a, b), "kappa")
+
+
+def bootstrap_fleiss(ratings: DataFrame, item: list[str], label: str, k: int = 3, rounds: int = 1000, seed: int = 42) -> DataFrame:
+    """One row (measure, value, low, high): Fleiss' kappa, items of exactly `k` ratings drawn."""
+    items = ratings.filter(F.col(label).isNotNull()).groupBy(*item).agg(F.sort_array(F.collect_list(label)).alias("labels")).filter(F.size("labels") == k)
+    drawn = checkpointed(resampled(items.groupBy(F.to_json("labels").alias("labels")).agg(F.count("*").alias("n")), ["labels"], rounds, seed))
+    each = drawn.select("round", "n", "labels", F.explode(F.from_json("labels", "array<string>")).alias("label"))
+    counts = each.groupBy("round", "labels", "n", "label").agg(F.count("*").alias("c"))
+    agree = counts.groupBy("round", "labels", "n").agg(((F.sum(F.col("c") * F.col("c")) - k) / F.lit(k * (k - 1))).alias("p"))
+    agree = agree.groupBy("round").agg(F.sum("n").alias("items"), (F.sum(F.col("n") * F.col("p")) / F.sum("n")).alias("p"))
+    shares = counts.groupBy("round", "label").agg(F.sum(F.col("n") * F.col("c")).alias("s")).groupBy("round").agg(F.sum(F.col("s") * F.col("s")).alias("s"))
+    pe = F.col("s") / (F.col("items") * F.col("items") * k * k)
+    kappas = agree.join(shares, "round").select("round", F.when(F.col("items") >= 2, F.when(pe >= 1, 1.0).otherwise(F.try_divide(F.col("p") - pe, 1 - pe))).alias("value"))
+    return _interval(kappas, "fleiss", fleiss_kappa(ratings, item, label, k), "kappa")
+
+
 def status(value: Column, threshold: float, ci_low: Column | None = None, least_low: float = 0.6) -> Column:
     """N/A for null, PASS from the threshold on if the interval's lower end is null or high enough, else FAIL."""
     ok = value >= threshold

@@ -443,15 +443,23 @@ def iaa_similar_errors(spark: SparkSession, base: str) -> DataFrame:
     return agreement.error_cases(_similar(spark, base), "human_a", "llm").groupBy("error").agg(F.count("*").alias("n"))
 
 
-def iaa_similar_fleiss(spark: SparkSession, base: str) -> DataFrame:
+def _triple_ratings(spark: SparkSession, base: str) -> DataFrame:
     triples = checkpointed(agreement.three_way_match(_listed(spark, base), "human_a", "human_b", "llm"))
-    ratings = triples.select("record_id", "triple", F.explode(F.array("label_a", "label_b", "label_c")).alias("label"))
-    return agreement.fleiss_kappa(ratings, ["record_id", "triple"], "label")
+    return triples.select("record_id", "triple", F.explode(F.array("label_a", "label_b", "label_c")).alias("label"))
+
+
+def iaa_similar_fleiss(spark: SparkSession, base: str) -> DataFrame:
+    return agreement.fleiss_kappa(_triple_ratings(spark, base), ["record_id", "triple"], "label")
 
 
 def iaa_bootstrap(spark: SparkSession, base: str) -> DataFrame:
-    same = agreement.both_sides(_pair(spark, base)).select((F.col("label_a") == F.col("label_b")).cast("double").alias("same"))
-    return agreement.bootstrap_interval(same, "same", 200)
+    """(measure, value, low, high): intervals of F1 over records, the kappas over pairs and Fleiss over triples."""
+    matches = checkpointed(_similar_or_empty(spark, base))
+    return (
+        agreement.bootstrap_f1(matches).unionByName(agreement.bootstrap_kappa(matches, "label_a", "label_b", "kappa_label"))
+        .unionByName(agreement.bootstrap_kappa(matches, "category_a", "category_b", "kappa_category"))
+        .unionByName(agreement.bootstrap_fleiss(_triple_ratings(spark, base), ["record_id", "triple"], "label"))
+    )
 
 
 # JSON, HTML, streams

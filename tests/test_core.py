@@ -196,6 +196,40 @@ def test_similar_names_against_brute_force(spark, tmp_path):
     assert fleiss["items"] == len(triples) and fleiss.kappa == pytest.approx((p - pe) / (1 - pe), abs=1e-5)
 
 
+def test_bootstrap_against_resampling(spark):
+    rng = np.random.default_rng(7)
+    pairs = [(a, a if rng.random() < 0.8 else "p") for a in rng.choice(["r", "p"], 150)]
+    rows = [(str(i % 30), "n", None if i % 5 == 0 else "n", str(a), str(b), "c", "c") for i, (a, b) in enumerate(pairs)]
+    m = spark.createDataFrame(rows, "record_id string, name_a string, name_b string, label_a string, label_b string, category_a string, category_b string")
+
+    def kappa(x):
+        po, (u, v) = (x[:, 0] == x[:, 1]).mean(), (x == "r").mean(axis=0)
+        pe = u * v + (1 - u) * (1 - v)
+        return (po - pe) / (1 - pe)
+
+    both = np.array([r[3:5] for r in rows if r[2]])
+    want = np.percentile([kappa(both[rng.integers(0, len(both), len(both))]) for _ in range(1000)], [2.5, 97.5])
+    got = agreement.bootstrap_kappa(m, "label_a", "label_b", "kappa_label").first()
+    assert got.value == pytest.approx(kappa(both), abs=1e-5) and [got.low, got.high] == pytest.approx(want, abs=0.04)
+    per = [(sum(r[2] is not None for r in g), len(g)) for g in ([r for r in rows if r[0] == str(k)] for k in range(30))]
+    f = np.array([2 * k / (n + k) for k, n in per])
+    want = np.percentile([f[rng.integers(0, 30, 30)].mean() for _ in range(1000)], [2.5, 97.5])
+    got = agreement.bootstrap_f1(m).first()
+    assert got.value == pytest.approx(f.mean(), abs=1e-5) and [got.low, got.high] == pytest.approx(want, abs=0.05)
+
+    def fleiss(t):
+        share = (t == "r").mean()
+        n = (t == "r").sum(axis=1)
+        p, pe = ((n**2 + (3 - n) ** 2 - 3) / 6).mean(), share**2 + (1 - share) ** 2
+        return (p - pe) / (1 - pe)
+
+    triples = np.array([(a, a, b) for a, b in pairs])
+    want = np.percentile([fleiss(triples[rng.integers(0, 150, 150)]) for _ in range(1000)], [2.5, 97.5])
+    ratings = spark.createDataFrame([(i, str(x)) for i, t in enumerate(triples) for x in t], "item int, label string")
+    got = agreement.bootstrap_fleiss(ratings, ["item"], "label").first()
+    assert got.value == pytest.approx(fleiss(triples), abs=1e-5) and [got.low, got.high] == pytest.approx(want, abs=0.05)
+
+
 def test_json_skills(spark):
     good = '{"skills": [{"skill_name": "A", "label": "bad", "category": "c", "min_years": "2.5", "level": "guru"}]}'
     cases = [(good, "ok", 1), (f"```json\n{good}\n```", "ok", 1), (good[:-2] + ",]}", "repaired", 1), (good[:-2] + ', {"skill_name": "B', "repaired", 1), (good[11:-1], "ok", 1), ("no", "unparsable", None), ("", "no_text", None), (None, "no_text", None)]
