@@ -16,8 +16,8 @@ from postmill.session import checkpointed
 
 #: Vectors per block of the pairwise products.
 BLOCK = 512
-#: Components above this size are refused: their distance matrix would not fit a task.
-MAX_COMPONENT = 20_000
+#: Components above this size are clustered from sums of vectors: their distance matrix would not fit a task.
+MAX_MATRIX = 4_000
 
 
 def close_pairs(vectors: DataFrame, threshold: float, id_col: str = "vec_id", vector: str = "embedding", block: int = BLOCK) -> DataFrame:
@@ -97,16 +97,58 @@ def average_linkage(distance: np.ndarray, threshold: float) -> np.ndarray:
     return label
 
 
+def average_linkage_by_sums(x: np.ndarray, threshold: float) -> np.ndarray:
+    """Like average_linkage for normalised vectors, without their distance matrix; equal distances may merge in another order.
+
+    The average cosine distance of two clusters is 1 - (sum of one) . (sum of the other) / (sizes), so the sums are
+    all that is kept. Nearest-neighbour chain: the order of merges doesn't change average linkage, and a cluster
+    whose nearest is not below the threshold never gets a nearer one, so it is done.
+    """
+    label = np.arange(len(x))
+    ids, sums, size = label.copy(), x.astype(np.float64), np.ones(len(x))
+    active = np.ones(len(x), dtype=bool)
+    chain: list[int] = []
+    left = len(x)
+    while left:
+        if 2 * left < len(ids):  # forget what is merged or done
+            place = np.cumsum(active) - 1
+            chain = [int(place[k]) for k in chain]
+            ids, sums, size = ids[active], sums[active], size[active]
+            active = np.ones(left, dtype=bool)
+        if not chain:
+            chain.append(int(active.argmax()))
+        i = chain[-1]
+        d = 1 - (sums @ sums[i]) / (size * size[i])
+        d[~active] = np.inf
+        d[i] = np.inf
+        j = int(d.argmin())
+        if len(chain) > 1 and (d[chain[-2]] <= d[j] or j in chain):
+            j = chain[-2]
+        if not d[j] < threshold:
+            active[i] = False
+            chain.pop()
+        elif len(chain) > 1 and j == chain[-2]:
+            del chain[-2:]
+            i, j = (i, j) if ids[i] < ids[j] else (j, i)
+            sums[i] += sums[j]
+            size[i] += size[j]
+            active[j] = False
+            label[label == ids[j]] = ids[i]
+        else:
+            chain.append(j)
+            continue
+        left -= 1
+    return label
+
+
 def cluster(vectors: DataFrame, threshold: float, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(id, cluster_id): average-linkage clusters by cosine distance, cluster_id the smallest member.
 
-    Equal to clustering all vectors at once. Raises where a component has more than MAX_COMPONENT members.
+    Equal to clustering all vectors at once. A component is one task: its time is quadratic in its members, its
+    memory in proportion to them above MAX_MATRIX.
     """
     ids = vectors.select(F.col(id_col).cast("long").alias("id"))
     comp = checkpointed(components(close_pairs(vectors, threshold, id_col, vector), ids))
-    largest = comp.groupBy("component").count().agg(F.max("count")).first()[0] or 0
-    if largest > MAX_COMPONENT:
-        raise ValueError(f"a component of {largest} vectors is above {MAX_COMPONENT}; lower the threshold")
     rows = comp.join(vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<float>").alias("v")), "id")
 
     def link(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -117,7 +159,8 @@ def cluster(vectors: DataFrame, threshold: float, id_col: str = "vec_id", vector
         x = np.stack(pdf["v"].to_numpy()).astype(np.float64)
         norm = np.linalg.norm(x, axis=1, keepdims=True)
         x = np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
-        return pd.DataFrame({"id": ids_, "cluster_id": ids_[average_linkage(1 - x @ x.T, threshold)]})
+        label = average_linkage(1 - x @ x.T, threshold) if len(x) <= MAX_MATRIX else average_linkage_by_sums(x, threshold)
+        return pd.DataFrame({"id": ids_, "cluster_id": ids_[label]})
 
     return rows.groupBy("component").applyInPandas(link, "id long, cluster_id long")
 

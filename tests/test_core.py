@@ -127,6 +127,21 @@ def test_average_linkage_against_brute_force(spark):
     assert {frozenset(g) for g in got.values()} == brute_average_linkage(d, 0.5) | {frozenset({98})}
 
 
+def test_average_linkage_by_sums(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    for n, t in ((1, 0.5), (2, 0.5), (9, 0.5), (25, 0.5), (25, 1.1), (300, 0.4), (300, 0.9)):
+        x = rng.normal(size=(n, 5))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        assert clusters.average_linkage_by_sums(x, t).tolist() == clusters.average_linkage(1 - x @ x.T, t).tolist()
+    assert clusters.average_linkage_by_sums(np.repeat(np.eye(3), 4, axis=0), 0.5).tolist() == [0] * 4 + [4] * 4 + [8] * 4
+    # components too large for a matrix are clustered all the same
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<float>")
+    want = {(r.id, r.cluster_id) for r in clusters.cluster(df, 0.5).collect()}
+    for name in ("MAX_MATRIX", "MAX_COMPONENT"):
+        monkeypatch.setattr(clusters, name, 10, raising=False)
+    assert {(r.id, r.cluster_id) for r in clusters.cluster(df, 0.5).collect()} == want
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.range(200).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     assert {r.component for r in clusters.components(edges, spark.range(203)).collect()} == {0, 201, 202}
