@@ -22,7 +22,8 @@ MAX_BROADCAST_ANNOTATORS = 100_000
 PRIOR_VOTES, PRIOR_RIGHT = 10.0, 0.75
 #: Reliabilities stay within [LEAST, 1 - LEAST].
 LEAST = 0.02
-MAX_ROUNDS, STABLE = 15, 1e-3
+#: Reliabilities that move less than STABLE are stable; a run that takes more than MAX_ROUNDS is an error, not a result.
+MAX_ROUNDS, STABLE = 500, 1e-3
 
 
 def latest_submissions(df: DataFrame, record: str, annotator: str, submitted: str, skills: str) -> DataFrame:
@@ -108,6 +109,8 @@ def consensus(votes: DataFrame) -> tuple[DataFrame, DataFrame]:
             log_prior = math.log((yes + 1) / (no + 1))
         if moved < STABLE:
             break
+    else:
+        raise RuntimeError(f"reliabilities still move by {moved:.2g} after {MAX_ROUNDS} rounds")
     final = scored(log_prior)
     n_yes = F.aggregate("votes", F.lit(0.0), lambda a, x: a + x["vote"])
     even = F.abs("score") < 1e-12

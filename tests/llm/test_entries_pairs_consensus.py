@@ -115,6 +115,13 @@ def test_consensus_is_near_the_best_that_known_skills_allow(spark):
     assert rel["liar"] < 0.4 < rel["coin"] < 0.65 < rel["fair"] < rel["good1"]
 
 
+def test_consensus_is_stable_or_an_error(spark, monkeypatch):
+    df = spark.createDataFrame(simulated(11, 60)[1], "record string, mention_no int, annotator string, vote double")
+    monkeypatch.setattr(consensus, "MAX_ROUNDS", 1)
+    with pytest.raises(RuntimeError, match="after 1 rounds"):
+        consensus.consensus(df)
+
+
 def test_consensus_edges(spark):
     schema = "record string, mention_no int, annotator string, vote double"
     items, annotators = consensus.consensus(spark.createDataFrame([], schema))
