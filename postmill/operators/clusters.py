@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postmill.session import checkpointed
+from postmill.session import checkpointed, round_checkpointed
 
 #: Vectors per block of the pairwise products.
 BLOCK = 512
@@ -50,23 +50,22 @@ def close_pairs(vectors: DataFrame, threshold: float, id_col: str = "vec_id", ve
     return sent.groupBy("lo", "hi").applyInPandas(product, "a long, b long, distance double")
 
 
-def components(edges: DataFrame, ids: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, ids: DataFrame) -> DataFrame:
     """(id, component): the smallest id reachable by edges (a, b); ids without an edge are their own component.
 
-    Label propagation with a jump to the label's own label in each round, so chains close in logarithmic rounds.
+    Label propagation with a jump to the label's own label in each round, so chains close in logarithmic rounds. Rounds go on
+    until no label changes.
     """
-    both = checkpointed(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    now = checkpointed(ids.select(F.col(ids.columns[0]).cast("long").alias("id")).distinct().withColumn("component", F.col("id")))
-    for _ in range(max_rounds):
+    both = round_checkpointed(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    now = round_checkpointed(ids.select(F.col(ids.columns[0]).cast("long").alias("id")).distinct().withColumn("component", F.col("id")))
+    while True:
         seen = both.join(now, both["b"] == now["id"]).groupBy("a").agg(F.min("component").alias("near"))
         step = now.join(seen, now["id"] == seen["a"], "left").select("id", F.least("component", F.coalesce("near", "component")).alias("label"), F.col("component").alias("before"))
         jump = now.select(F.col("id").alias("label"), F.col("component").alias("further"))
-        new = checkpointed(step.join(jump, "label", "left").select("id", F.least("label", F.coalesce("further", "label")).alias("component"), "before"))
-        changed = new.filter("component < before").limit(1).count()
+        new = round_checkpointed(step.join(jump, "label", "left").select("id", F.least("label", F.coalesce("further", "label")).alias("component"), "before"))
         now = new.select("id", "component")
-        if not changed:
-            break
-    return now
+        if new.filter("component < before").isEmpty():
+            return now
 
 
 def average_linkage(distance: np.ndarray, threshold: float) -> np.ndarray:

@@ -42,6 +42,17 @@ def checkpointed(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager)
 
 
+def round_checkpointed(df: DataFrame) -> DataFrame:
+    """checkpointed() for the tables of a loop, without the size estimate of the plan behind.
+
+    A checkpoint keeps the estimate of the plan it cuts, and a join's estimate is the product of its sides': carried from
+    round to round its digits would double each time until planning takes longer than the work.
+    """
+    spark = df.sparkSession
+    cut = checkpointed(df)._jdf
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(cut.queryExecution().toRdd(), cut.schema(), False), spark)
+
+
 def within_broadcast_bound(df: DataFrame, max_rows: int) -> bool:
     """Whether `df` has at most `max_rows` rows; reads at most one row more than that."""
     return len(df.limit(max_rows + 1).take(max_rows + 1)) <= max_rows
