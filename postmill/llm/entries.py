@@ -12,12 +12,15 @@ import re
 import unicodedata
 from collections import OrderedDict
 from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from postmill.functions.text import DESCRIPTORS
+
 #: A reference list above this many keys is refused: it is sent to every task.
 MAX_REFERENCE_KEYS = 2_000_000
 #: Lists up to this size get the table of letter pairs that spares hopeless searches.
@@ -185,6 +188,13 @@ class Matcher:
             found += [x for x in self.trie.search(key, tolerance(len(key))) if x[0] == 0 or _short_words_agree(form, x[2])]
         return sorted(set(found))
 
+    def listed(self, value: str | None) -> int:
+        """The entry that one of the value's forms names exactly, the most complete first; 0 if none."""
+        for form in self.forms(value) if value is not None and value.strip() else []:
+            if form and (exact := self.trie.exact(compact(form))):
+                return min(e for e, _ in exact)
+        return 0
+
     def best(self, value: str | None) -> tuple[int, int]:
         """(entry, distance) of the closest entry, (0, -1) if none fits.
 
@@ -228,19 +238,16 @@ TITLE_NOISE = (
 )
 _TITLE_EDGES = (re.compile(rf"^(?:{TITLE_NOISE})\b\.?[\s:,\-]*"), re.compile(rf"[\s:,\-(]+(?:{TITLE_NOISE})\)?\.?$"))
 
-#: Words around a skill that don't change which skill it is. Fixed vocabulary, folded.
-SKILL_BEFORE = (
-    "kinh nghiem voi|kinh nghiem ve|kinh nghiem|ky nang|kien thuc ve|kien thuc|hieu biet ve|experience with|experience in|knowledge of|good|"
-    "lap trinh|ngon ngu|cong cu|phan mem|thu vien|he dieu hanh|he thong|quy trinh|mo hinh|csdl|co so du lieu|nen tang|cong nghe|framework|"
-    "truy van|kha nang|thanh thao|su dung|using|apache|microsoft|ms|hashicorp|redhat|red hat|atlassian|ibm|amazon|google|adobe|nvidia"
-)
-SKILL_AFTER = (
-    "co ban|nang cao|basic|advanced|technology|knowledge|skills?|abilit(?:y|ies)|language|frameworks?|tools?|software|db|database|cluster|pipelines?|methodology|queries|os|platform|library|"
-    "programming|development|developer|scripts?|container(?:s)?|runtime|communication|kernels?|proxy|web server|server|cache|streaming|"
-    "ide|webdriver|sdk|dags|api|apis|cloud|crm|erp|dwh|models?|formulas?|domain|design|ui|core|in memory store|search engine|\\d+(?:\\.\\d+)*|v\\d+|es\\d+"
-)
-_BEFORE = re.compile(rf"^(?:{SKILL_BEFORE})\s+")
-_AFTER = re.compile(rf"[\s\-]+(?:{SKILL_AFTER})$")
+@dataclass(frozen=True)
+class Affixes:
+    """Folded words that may stand before and after a name without changing what it means."""
+
+    before: frozenset[str] = frozenset()
+    after: frozenset[str] = frozenset()
+
+
+#: Vietnamese words put before a skill, folded; further ones are learnt (llm.aliases).
+DESCRIBED = Affixes(frozenset(fold(d) for d in DESCRIPTORS))
 
 
 def title_forms(value: str) -> list[str]:
@@ -260,29 +267,32 @@ def title_forms(value: str) -> list[str]:
     return list(dict.fromkeys(re.sub(r"\s+", " ", x) for x in out if len(x) > 1))
 
 
-def skill_forms(value: str) -> list[str]:
+def skill_forms(value: str, affixes: Affixes = Affixes()) -> list[str]:
     """Texts of a skill name to look up: as written, without remarks in parentheses, without words around it."""
+    before, after = affixes.before | DESCRIBED.before, affixes.after
+    longest = 1 + max((a.count(" ") for a in before | after), default=0)
     t = fold(value)
-    out = [t, re.sub(r"\s*\([^)]*\)", "", t).strip()]
-    k = 0
-    while k < len(out) and len(out) < 24:
-        x = out[k]
-        for y in (_BEFORE.sub("", x), _AFTER.sub("", x)):
-            if y and y not in out:
+    out = list(dict.fromkeys([t, re.sub(r"\s*\([^)]*\)", "", t).strip()]))
+    for x in out:  # grows; every further form is shorter
+        words = x.split(" ")
+        for k in range(1, min(longest + 1, len(words))):
+            if " ".join(words[:k]) in before and (y := " ".join(words[k:])) not in out:
+                out.append(y)
+            if " ".join(words[-k:]) in after and (y := " ".join(words[:-k])) not in out:
                 out.append(y)
-        k += 1
     return out
 
 
-def entry_udf(keys: list[tuple[int, str]], forms: Callable[[str], list[str]]) -> Callable[[Column], Column]:
-    """A column function value -> entry id (0 = fits none, also for null and blank)."""
+def entry_udf(keys: list[tuple[int, str]], forms: Callable[[str], list[str]], exact: bool = False) -> Callable[[Column], Column]:
+    """A column function value -> entry id (0 = fits none, also for null and blank); with `exact` only names as they are listed fit."""
 
     @F.pandas_udf("int")
     def match(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         matcher = Matcher(keys, forms)
+        find = matcher.listed if exact else lambda v: matcher.best(v)[0]
         for values in batches:
             codes, uniques = pd.factorize(values)
-            ids = [matcher.best(u)[0] for u in uniques] + [0]  # code -1 (null) takes the last
+            ids = [find(u) for u in uniques] + [0]  # code -1 (null) takes the last
             yield pd.Series([ids[c] for c in codes], dtype="int32")
 
     # a deterministic function would be evaluated once more for every filter that is pushed below it

@@ -9,6 +9,7 @@ dropped and training goes on.
 
 from __future__ import annotations
 
+import hashlib
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -19,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 #: Languages told apart, by their two-letter code, with their three-letter codes.
 LANGUAGES = {"vi": ("vie",), "en": ("eng",), "ja": ("jpn",), "ko": ("kor",), "fr": ("fra", "fre"), "de": ("deu", "ger")}
@@ -27,6 +29,8 @@ WINDOW = 128
 FILTERS = {2: 8, 3: 24, 4: 32}
 #: Bounds of the labelled sample: texts per language, windows per text.
 SAMPLE_TEXTS, SAMPLE_WINDOWS = 500, 4
+#: Texts of the sample have at least SHORTEST characters; OVERDRAWN times SAMPLE_TEXTS hashes are ranked.
+SHORTEST, OVERDRAWN = 40, 3
 EPOCHS, BATCH, RATE, SEED = 10, 128, 0.004, 7
 #: Windows classified at once; bounds the memory of a task.
 CHUNK_WINDOWS = 32
@@ -207,12 +211,32 @@ def fit(texts: list[str], labels: list[str]) -> ByteConv:
 
 
 def labelled_sample(texts: DataFrame, text: str, label: str) -> DataFrame:
-    """(text, lang): about SAMPLE_TEXTS labelled texts per language, chosen by hash, all of them where there are fewer."""
-    known = texts.select(F.col(text).alias("text"), canonical_label(F.col(label)).alias("lang")).filter(F.col("lang").isNotNull())
-    n = {r[0]: r[1] for r in known.groupBy("lang").count().collect()}  # at most one row per language; reads the labels only
-    rows = known.filter(F.length("text") >= 40)
-    share = reduce(lambda out, x: F.when(F.col("lang") == x[0], F.lit(min(1.0, SAMPLE_TEXTS / x[1]))).otherwise(out), n.items(), F.lit(0.0))
-    return rows.filter(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) < share * 1_000_003).limit(2 * SAMPLE_TEXTS * len(LANGUAGES))
+    """(text, lang): of each language the SAMPLE_TEXTS different labelled texts with the smallest hashes, all where there are fewer.
+
+    Copies of a text count once. The hashes are cut at a bound that leaves about OVERDRAWN times as many before they are ranked, so that no more
+    than that reaches one task; a label without enough texts is not cut. Texts under SHORTEST characters teach nothing.
+    """
+    known = texts.select(F.col(text).alias("text"), canonical_label(F.col(label)).alias("lang")).filter(F.col("lang").isNotNull() & (F.length("text") >= SHORTEST))
+    hashed = known.withColumn("h", F.xxhash64("text"))
+    n = {r[0]: r[1] for r in hashed.groupBy("lang").agg(F.approx_count_distinct("h")).collect()}  # at most one row per language
+    top = reduce(lambda out, x: F.when(F.col("lang") == x[0], F.lit(int(min(1.0, OVERDRAWN * SAMPLE_TEXTS / max(x[1], 1)) * (2**64 - 1)) - 2**63)).otherwise(out), n.items(), F.lit(2**63 - 1))
+    rows = hashed.filter(F.col("h") <= top).groupBy("lang", "h").agg(F.min("text").alias("text"))
+    ranked = rows.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h")))
+    return ranked.filter(F.col("k") <= SAMPLE_TEXTS).select("text", "lang")
+
+
+#: Networks already fitted in this process, by sample and parameters.
+_fitted: dict[str, ByteConv] = {}
+
+
+def fitted(rows: list[tuple[str, str]]) -> ByteConv:
+    """The network of a sample (text, lang), fitted once per process; the order of the sample doesn't matter."""
+    rows = sorted(rows)
+    key = hashlib.sha256(repr((rows, WINDOW, FILTERS, SAMPLE_WINDOWS, EPOCHS, BATCH, RATE, SEED)).encode()).hexdigest()
+    if key not in _fitted:
+        _fitted.clear()
+        _fitted[key] = fit([t for t, _ in rows], [x for _, x in rows])
+    return _fitted[key]
 
 
 PARAGRAPH = T.StructType([T.StructField("para_no", T.IntegerType()), T.StructField("lang", T.StringType()), T.StructField("confidence", T.DoubleType()), T.StructField("n_chars", T.IntegerType())])

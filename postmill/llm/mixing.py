@@ -16,8 +16,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Sources read to the driver, blocks of the schedule (slots) and hash buckets per source.
-MAX_SOURCES, BLOCKS, BUCKETS = 1000, 4096, 1024
+from postmill.session import checkpointed
+
+#: Sources read to the driver, blocks of the schedule (slots), and documents of a hash bucket on average.
+MAX_SOURCES, BLOCKS, BUCKET_DOCUMENTS = 1000, 4096, 50_000
 _HASH = 1 << 40
 
 
@@ -91,31 +93,42 @@ def mixture(docs: DataFrame, shares: list[Share], largest: int, key: str = "doc_
     """(slot, position, source, key, copy, n_tokens): every used copy of every document, in schedule order.
 
     `docs`: key, source, n_tokens (rows with 0 tokens or another source give nothing). Within a source documents
-    stand in an order drawn from the hash of their key; a whole pass uses all of them once, and the last pass as
-    many as meet the quota best (a document belongs if its middle lies within). position counts the tokens of
-    the source before the copy. A block has at least the size of the largest document. Sums run over hash buckets, so no source passes through one task.
+    stand in an order drawn from the hash of their key; a whole pass uses all of them once, the last pass those that lie wholly within the
+    rest of the quota, and then the one further document that comes nearest to what is still missing, if that is nearer than none. position counts
+    the tokens of the source before the copy. A block has at least the size of the largest document. Sums run over hash buckets of about
+    BUCKET_DOCUMENTS documents, so no source passes through one task.
     """
     spark = docs.sparkSession
     live = [s for s in shares if s.quota > 0]
     size = sum(s.quota for s in live)
-    rows = [(s.source, s.passes, s.rest, s.available) for s in live]
-    about = F.broadcast(spark.createDataFrame(rows, "source string, passes int, rest double, available long"))
+    counts = dict(docs.filter(F.col("n_tokens") > 0).groupBy("source").count().collect())  # one number per source
+    rows = [(s.source, s.passes, float(s.rest), s.available, -(-counts.get(s.source, 1) // BUCKET_DOCUMENTS)) for s in live]
+    about = F.broadcast(spark.createDataFrame(rows, "source string, passes int, rest double, available long, buckets long"))  # at most MAX_SOURCES rows
     h = F.pmod(F.xxhash64(F.lit(17), F.col(key)), F.lit(_HASH))
-    used = docs.filter(F.col("n_tokens") > 0).select(key, "source", "n_tokens").join(about, "source").withColumn("h", h).withColumn("bucket", (F.col("h") / (_HASH // BUCKETS)).cast("int"))
+    used = docs.filter(F.col("n_tokens") > 0).select(key, "source", "n_tokens").join(about, "source").withColumn("h", h).withColumn("bucket", F.floor(F.col("h").cast("double") / _HASH * F.col("buckets")).cast("long"))
     totals = used.groupBy("source", "bucket").agg(F.sum("n_tokens").alias("in_bucket"))
     before = totals.withColumn("before", F.coalesce(F.sum("in_bucket").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     within = Window.partitionBy("source", "bucket").orderBy("h", key).rowsBetween(Window.unboundedPreceding, -1)
-    placed = used.join(F.broadcast(before.drop("in_bucket")), ["source", "bucket"]).withColumn("start", F.col("before") + F.coalesce(F.sum("n_tokens").over(within), F.lit(0)))
-    copies = F.col("passes") + (F.col("start") + F.col("n_tokens") / 2 <= F.col("rest")).cast("int")
-    each = placed.withColumn("copies", copies).filter("copies > 0").select(key, "source", "n_tokens", "available", "start", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+    placed = used.join(before.drop("in_bucket"), ["source", "bucket"]).withColumn("start", F.col("before") + F.coalesce(F.sum("n_tokens").over(within), F.lit(0)))
+    placed = checkpointed(placed.drop("before", "bucket", "buckets"))
+    end = F.col("start") + F.col("n_tokens")
+    filled = placed.filter(end <= F.col("rest")).groupBy("source").agg(F.max(end).alias("filled"))
+    missing = about.join(filled, "source", "left").select("source", F.coalesce("filled", F.lit(0)).cast("long").alias("filled"), (F.col("rest") - F.coalesce("filled", F.lit(0))).alias("missing"))
+    off = F.abs(F.col("n_tokens") - F.col("missing"))
+    last = placed.filter(end > F.col("rest")).join(F.broadcast(missing), "source").filter(off < F.col("missing")).groupBy("source", "filled").agg(F.min_by(key, F.struct(off, "h", key)).alias("__last"))
+    chosen = placed.join(F.broadcast(last), "source", "left").withColumn("extra", F.coalesce(F.col(key) == F.col("__last"), F.lit(False)) & (end > F.col("rest")))
+    copies = F.col("passes") + ((end <= F.col("rest")) | F.col("extra")).cast("int")
+    at = F.when(F.col("extra") & (F.col("copy") > F.col("passes")), F.col("filled")).otherwise(F.col("start"))
+    each = chosen.withColumn("copies", copies).filter("copies > 0").select(key, "source", "n_tokens", "available", "start", "extra", "passes", "filled", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+    each = each.select(key, "source", "n_tokens", "available", at.alias("start"), "copy")
     block_size = max(size / blocks, largest, 1.0)
     each = each.withColumn("position", (F.col("copy") - 1) * F.col("available") + F.col("start")).withColumn("block", F.floor((F.col("position") + F.col("n_tokens") / 2) / F.lit(block_size)).cast("int"))
     n_blocks = {s.source: int(s.quota / block_size) + 2 for s in live}
     order = pfair({s.source: s.quota / size for s in live}, n_blocks)
     slots = F.broadcast(spark.createDataFrame(order, "source string, block int, slot int"))
     # the last document of a source may begin in a block past its quota: it goes with the source's last block
-    last = F.broadcast(spark.createDataFrame([(s, n - 1) for s, n in n_blocks.items()], "source string, last int"))
-    return each.join(last, "source").withColumn("block", F.least("block", "last")).join(slots, ["source", "block"]).select("slot", "position", "source", key, "copy", "n_tokens")
+    final = F.broadcast(spark.createDataFrame([(s, n - 1) for s, n in n_blocks.items()], "source string, last int"))
+    return each.join(final, "source").withColumn("block", F.least("block", "last")).join(slots, ["source", "block"]).select("slot", "position", "source", key, "copy", "n_tokens")
 
 
 def report(mixed: DataFrame, shares: list[Share], key: str = "doc_id") -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmill.llm import consensus, encoding, entries, language, lexicon, linkage, mixing, pairs, splitting
+from postmill.llm import aliases, consensus, encoding, entries, language, linkage, mixing, pairs, splitting
 from postmill.operators.pay import monthly_kvnd
 from postmill.session import checkpointed, table
 
@@ -14,36 +16,57 @@ MAX_REFERENCE_ROWS = 100_000
 _NOT_BLANK = r"[^\s\u00a0\u3000\u200b\ufeff]"
 
 
-def _reference(spark: SparkSession, base: str, name: str) -> tuple[dict[str, int], list[tuple[int, str]]]:
-    """Canonical names with ids, and all keys (id, name) with the list's own and the general aliases."""
-    columns, aliases = {
-        "title_reference": (("title_id", "canonical_title", "alt_names"), lexicon.TITLE_ALIASES),
-        "skill_reference": (("skill_id", "canonical", "variants"), lexicon.SKILL_ALIASES),
-    }[name]
+def _reference(spark: SparkSession, base: str, name: str) -> tuple[list[str], aliases.Keys]:
+    """Canonical names, and all keys (id, name) with the list's own further names."""
+    columns = {"title_reference": ("title_id", "canonical_title", "alt_names"), "skill_reference": ("skill_id", "canonical", "variants")}[name]
     rows = table(spark, base, name).select(*columns).limit(MAX_REFERENCE_ROWS + 1).collect()
     if len(rows) > MAX_REFERENCE_ROWS:
         raise ValueError(f"{name} has more than {MAX_REFERENCE_ROWS} rows")
-    canonical = {r[1]: r[0] for r in rows if r[1]}
-    own = [(r[0], x) for r in rows for x in [r[1], *(r[2] or [])] if x]
-    return canonical, own + lexicon.keys(canonical, aliases)
+    return [r[1] for r in rows if r[1]], [(r[0], x) for r in rows for x in [r[1], *(r[2] or [])] if x]
+
+
+def _skill_id(spark: SparkSession, base: str) -> Callable[[Column], Column]:
+    """A column function skill name -> entry; names are learnt from mentions that several annotators marked."""
+    keys, affixes = aliases.skill_vocabulary(table(spark, base, "annotations_unified"), _reference(spark, base, "skill_reference")[1])
+    return entries.entry_udf(keys, aliases.forms_of(affixes))
 
 
-def title_id(spark: SparkSession, base: str, value: Column) -> Column:
-    return entries.entry_udf(_reference(spark, base, "title_reference")[1], entries.title_forms)(value)
+def _paid_postings(spark: SparkSession, base: str, columns: list[str]) -> DataFrame:
+    """`columns` of both boards with board (0, 1) and the stated pay."""
+    boards = [table(spark, base, name).select(*columns, F.lit(i).alias("board")) for i, name in enumerate(("raw_jobs_itviec", "raw_jobs_topcv"))]
+    return monthly_kvnd(boards[0].unionByName(boards[1]), table(spark, base, "unit_factors"))
 
 
-def skill_id(spark: SparkSession, base: str, value: Column) -> Column:
-    return entries.entry_udf(_reference(spark, base, "skill_reference")[1], entries.skill_forms)(value)
+def _title_id(spark: SparkSession, base: str) -> Callable[[Column], Column]:
+    """A column function job title -> entry; titles are learnt from postings of both boards that alone share company, place and pay."""
+    keys = _reference(spark, base, "title_reference")[1]
+    paid = _paid_postings(spark, base, ["posting_id", "company", "job_title", "location", "salary", "job_description"])
+    facts = aliases.posting_facts(paid.filter((F.col("low_kvnd") > 0) | (F.col("high_kvnd") > 0)), keys)
+    return entries.entry_udf(aliases.title_vocabulary(facts, keys), entries.title_forms)
 
 
 #: Labels a mention needs to be reported.
 MIN_LABELS = 3
 
 
+def _marked(spark: SparkSession, base: str) -> DataFrame:
+    """(record, annotator, mention_no, label): the labels of the latest submissions, as written."""
+    latest = consensus.latest_submissions(table(spark, base, "annotations_unified"), "record_id", "annotator", "submitted_at", "skills", lambda s: F.struct(s["mention_no"].alias("mention_no"), s["label"].alias("label")))
+    return latest.select("record", "annotator", F.explode("skills").alias("s")).select("record", "annotator", "s.mention_no", "s.label")
+
+
 def _votes(spark: SparkSession, base: str) -> DataFrame:
-    latest = consensus.latest_submissions(table(spark, base, "annotations_unified"), "record_id", "annotator", "submitted_at", "skills")
-    mentions = latest.select("record", "annotator", F.explode("skills").alias("s")).select("record", "annotator", F.col("s.mention_no").alias("mention_no"), F.col("s.label").alias("label"))
-    return consensus.votes_of(mentions, consensus.required_vote(F.col("label")))
+    vote = lambda s: F.struct(s["mention_no"].alias("mention_no"), consensus.required_vote(s["label"]).cast("tinyint").alias("vote"))
+    latest = consensus.latest_submissions(table(spark, base, "annotations_unified"), "record_id", "annotator", "submitted_at", "skills", vote)
+    mentions = latest.select("record", "annotator", F.explode("skills").alias("s")).select("record", "annotator", "s.mention_no", F.col("s.vote").alias("label"))
+    return consensus.votes_of(mentions, F.col("label"))
+
+
+def p2_labels(spark: SparkSession, base: str) -> DataFrame:
+    """How every spelling of a label is read: required_skill, preferred_skill or as an abstention, and how often it stands."""
+    written = F.coalesce(F.trim("label"), F.lit(""))
+    reading = F.when(consensus.required_vote(F.col("label")) == 1, "required_skill").when(consensus.required_vote(F.col("label")) == 0, "preferred_skill").otherwise("abstained")
+    return _marked(spark, base).groupBy(written.alias("label"), reading.alias("reading")).agg(F.count("*").alias("n"))
 
 
 def p2_found(spark: SparkSession, base: str) -> DataFrame:
@@ -67,25 +90,24 @@ def p2_agreement(spark: SparkSession, base: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, base: str) -> DataFrame:
     """The entry of title_reference or skill_reference that each free value means, 0 if none."""
-    titles, skills = (list(_reference(spark, base, x)[0]) for x in ("title_reference", "skill_reference"))
+    titles, skills = (_reference(spark, base, x)[0] for x in ("title_reference", "skill_reference"))
 
     def cases(name: str, key: str, column: str, canonical: list[str]) -> DataFrame:
         return table(spark, base, name).filter(F.col(column).rlike(_NOT_BLANK) & ~F.col(column).isin(canonical)).select(F.col(key).alias("row_key"), F.col(column).alias("value"))
 
     jobs = cases("raw_jobs_itviec", "posting_id", "job_title", titles).unionByName(cases("raw_jobs_topcv", "posting_id", "job_title", titles))
     mentions = cases("skills_flat", "mention_id", "skill_name", skills)
-    out = jobs.select(F.lit("job_title").alias("field"), "row_key", title_id(spark, base, F.col("value")).cast("long").alias("ref_id")).unionByName(
-        mentions.select(F.lit("skill_name").alias("field"), "row_key", skill_id(spark, base, F.col("value")).cast("long").alias("ref_id"))
+    out = jobs.select(F.lit("job_title").alias("field"), "row_key", _title_id(spark, base)(F.col("value")).cast("long").alias("ref_id")).unionByName(
+        mentions.select(F.lit("skill_name").alias("field"), "row_key", _skill_id(spark, base)(F.col("value")).cast("long").alias("ref_id"))
     )
     return out.distinct()
 
 
 def p5_matches(spark: SparkSession, base: str) -> DataFrame:
     """Postings of the two boards that are the same job, with a confidence."""
-    columns = ["posting_id", "company", "job_title", "location", "required_skills", "job_description", "crawled_at", "salary"]
-    boards = [table(spark, base, name).select(*columns, F.lit(i).alias("board")) for i, name in enumerate(("raw_jobs_itviec", "raw_jobs_topcv"))]
-    paid = monthly_kvnd(boards[0].unionByName(boards[1]), table(spark, base, "unit_factors")).drop("salary")
-    found = linkage.link(paid, _reference(spark, base, "title_reference")[1], _reference(spark, base, "skill_reference")[1])
+    paid = _paid_postings(spark, base, ["posting_id", "company", "job_title", "location", "required_skills", "job_description", "crawled_at", "salary"])
+    skills, affixes = aliases.skill_vocabulary(table(spark, base, "annotations_unified"), _reference(spark, base, "skill_reference")[1])
+    found = linkage.link(paid, _reference(spark, base, "title_reference")[1], skills, affixes)
     return found.select(F.least("id_a", "id_b").alias("posting_id_a"), F.greatest("id_a", "id_b").alias("posting_id_b"), "score", "confidence")
 
 
@@ -95,13 +117,8 @@ def p5_found(spark: SparkSession, base: str) -> DataFrame:
 
 
 def _skill_mentions(spark: SparkSession, base: str) -> DataFrame:
-    """(row_id, item): each record's distinct skills by entry id, 0 for names that fit none."""
-    flat = table(spark, base, "skills_flat").select("row_id", "skill_name")
-    return flat.select("row_id", skill_id(spark, base, F.col("skill_name")).alias("item"))
-
-
-def _n_records(spark: SparkSession, base: str) -> DataFrame:
-    return table(spark, base, "skills_flat").agg(F.countDistinct("row_id").alias("n"))
+    """(row_id, item): each record's skills by entry id, 0 for names that fit none."""
+    return table(spark, base, "skills_flat").select("row_id", _skill_id(spark, base)(F.col("skill_name")).alias("item"))
 
 
 #: Least records, share of records and lift of a reported pair.
@@ -110,24 +127,26 @@ MIN_TOGETHER, MIN_SHARE, MIN_LIFT = 5, 0.005, 3
 
 def p6_found(spark: SparkSession, base: str) -> DataFrame:
     """Pairs of listed skills that stand together in enough records and far more often than by chance."""
-    found = pairs.associations(pairs.baskets_of(_skill_mentions(spark, base), "row_id", "item"), _n_records(spark, base))
-    often = (F.col("n_ab") >= MIN_TOGETHER) & (F.col("n_ab") * 200 >= F.col("n")) & (F.col("n") * F.col("n_ab") >= MIN_LIFT * F.col("n_a") * F.col("n_b"))
+    baskets = checkpointed(pairs.baskets_of(_skill_mentions(spark, base), "row_id", "item"))
+    found = pairs.associations(baskets, least=MIN_TOGETHER, least_share=MIN_SHARE)
+    often = F.col("n") * F.col("n_ab") >= MIN_LIFT * F.col("n_a") * F.col("n_b")
     return found.filter(often).select(F.col("item_a").alias("skill_id_a"), F.col("item_b").alias("skill_id_b"))
 
 
 def p6_categories(spark: SparkSession, base: str) -> DataFrame:
     """How often categories of the skill list stand together in a record, and their lift."""
-    rows = table(spark, base, "skill_reference").select("skill_id", "category").limit(MAX_REFERENCE_ROWS).collect()
+    rows = table(spark, base, "skill_reference").select("skill_id", "category").limit(MAX_REFERENCE_ROWS + 1).collect()
+    if len(rows) > MAX_REFERENCE_ROWS:
+        raise ValueError(f"skill_reference has more than {MAX_REFERENCE_ROWS} rows")
     names = sorted({r[1] for r in rows if r[1]})
     number = {c: i + 1 for i, c in enumerate(names)}
-    of_skill = F.create_map(*(F.lit(x) for r in rows if r[1] for x in (r[0], number[r[1]])))
-    name = F.element_at(F.array(*(F.lit(c) for c in names)), F.col("x"))
-    mentions = _skill_mentions(spark, base).select("row_id", F.coalesce(of_skill[F.col("item")], F.lit(0)).alias("item"))
-    found = pairs.associations(pairs.baskets_of(mentions, "row_id", "item"), _n_records(spark, base))
-    return (
-        found.withColumn("x", F.col("item_a")).withColumn("category_a", name).withColumn("x", F.col("item_b")).withColumn("category_b", name)
-        .select("category_a", "category_b", "n_ab", "n_a", "n_b", "n", F.round("lift", 9).alias("lift"))
-    )
+    # a table of at most MAX_REFERENCE_ROWS rows of two numbers, and one of their names
+    of_skill = F.broadcast(spark.createDataFrame([(r[0], number[r[1]]) for r in rows if r[1]], "item int, category int"))
+    named = spark.createDataFrame(sorted((i, c) for c, i in number.items()), "number int, name string")
+    mentions = _skill_mentions(spark, base).join(of_skill, "item", "left").select("row_id", F.coalesce("category", F.lit(0)).alias("item"))
+    found = pairs.associations(checkpointed(pairs.baskets_of(mentions, "row_id", "item")))
+    a, b = (named.select(F.col("number").alias(f"item_{x}"), F.col("name").alias(f"category_{x}")) for x in "ab")
+    return found.join(F.broadcast(a), "item_a").join(F.broadcast(b), "item_b").select("category_a", "category_b", "n_ab", "n_a", "n_b", "n", F.round("lift", 9).alias("lift"))
 
 
 def _all_texts(spark: SparkSession, base: str) -> DataFrame:
@@ -141,7 +160,7 @@ def _all_texts(spark: SparkSession, base: str) -> DataFrame:
 def _segments(spark: SparkSession, base: str) -> DataFrame:
     texts = _all_texts(spark, base)
     sample = [(r.text, r.lang) for r in language.labelled_sample(texts, "text", "label").collect()]  # bounded by its parameters
-    return language.languages_of(texts, language.fit([t for t, _ in sample], [x for _, x in sample]))
+    return language.languages_of(texts, language.fitted(sample))
 
 
 def p7_found(spark: SparkSession, base: str) -> DataFrame:
@@ -197,4 +216,4 @@ def p10_found(spark: SparkSession, base: str) -> DataFrame:
     return p10_pieces(spark, base).filter(F.col("piece_no") == 1).select("doc_id")
 
 
-QUERIES = {"p2_found": p2_found, "p2_annotators": p2_annotators, "p2_agreement": p2_agreement, "p3_found": p3_found, "p5_found": p5_found, "p5_matches": p5_matches, "p6_found": p6_found, "p6_categories": p6_categories, "p7_found": p7_found, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_pieces": p10_pieces}
+QUERIES = {"p2_found": p2_found, "p2_annotators": p2_annotators, "p2_agreement": p2_agreement, "p2_labels": p2_labels, "p3_found": p3_found, "p5_found": p5_found, "p5_matches": p5_matches, "p6_found": p6_found, "p6_categories": p6_categories, "p7_found": p7_found, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_pieces": p10_pieces}

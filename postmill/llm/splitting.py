@@ -9,7 +9,6 @@ both sides. Within the window of sizes allowed for a piece the deepest valley is
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,60 +24,86 @@ LEAST_FILL = 0.5
 #: What a blank line or a line end adds to the depth of a valley.
 BLANK_LINE, LINE_END = 0.3, 0.1
 
-_SENTENCE = re.compile(r"\n[^\S\n]*\n\s*|\n+|(?<=[.!?])\s+|(?<=[。！？])")
-_TOKEN = re.compile(r"[^\W\d_]+")
+_SENTENCE = re.compile(r"\n[^\S\n]*\n\s*|\n+|(?<=[.!?])\s+|(?<=[\u3002\uff01\uff1f])")
+_BLANK_LINE, _LINE = re.compile(r"\n[^\S\n]*\n\s*$"), re.compile(r"\n$")
+#: Terms a task remembers before it starts anew; only speed depends on it.
+MAX_TERMS = 1_000_000
 
 
-def gaps(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """(character offsets of the gaps between sentences, depth of the valley at each)."""
-    ends = [m.end() for m in _SENTENCE.finditer(text) if 0 < m.end() < len(text)]
-    at = np.array(sorted(set(ends)), dtype=np.int64)
+class Terms:
+    """Numbers of words by their lower-case letters; -1 for what holds no letter."""
+
+    def __init__(self) -> None:
+        self.of: dict[str, int] = {}
+
+    def codes(self, words: list[str]) -> np.ndarray:
+        if len(self.of) > MAX_TERMS:
+            self.of.clear()
+        for w in {*words} - self.of.keys():
+            t = w.strip().lower()
+            self.of[w] = self.of.setdefault(t, len(self.of)) if t.isalpha() else -1
+        return np.fromiter(map(self.of.__getitem__, words), dtype=np.int64, count=len(words))
+
+
+def similarities(term: np.ndarray, sentence: np.ndarray, n: int) -> np.ndarray:
+    """Cosine of the word counts of the BLOCK sentences before and after each of the n - 1 gaps between n sentences.
+
+    `term`, `sentence`: the words' numbers and places. Products of sentences at most 2 * BLOCK - 1 apart make up all blocks' products: a word's
+    sentences are sorted and met with their next ones, and the sums over blocks are differences of running sums.
+    """
+    reach = 2 * BLOCK - 1
+    key, count = np.unique(term * n + sentence, return_counts=True)
+    word, place = key // n, key % n
+    count = count.astype(np.float64)
+    band = np.zeros((reach + 1, n))
+    band[0] = np.bincount(place, count * count, n)
+    for k in range(1, min(reach, len(key) - 1) + 1):
+        apart = place[k:] - place[:-k]
+        near = (word[k:] == word[:-k]) & (apart <= reach)
+        if not near.any():
+            break
+        np.add.at(band, (apart[near], place[:-k][near]), count[k:][near] * count[:-k][near])
+    run = np.concatenate([np.zeros((reach + 1, 1)), np.cumsum(band, axis=1)], axis=1)
+    g = np.arange(n - 1)
+
+    def between(d: int, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        low, high = np.clip(low, 0, n), np.clip(high + 1, 0, n)
+        return run[d][np.maximum(high, low)] - run[d][low]
+
+    dot = sum(between(d, np.maximum(g + 1 - d, g - BLOCK + 1), np.minimum(g, g + BLOCK - d)) for d in range(1, reach + 1))
+    # a pair that reaches over the block's first sentence counts in no block: windows are cut off at both ends of the text
+    left = sum((1 + (d > 0)) * between(d, g - BLOCK + 1, g - d) for d in range(BLOCK))
+    right = sum((1 + (d > 0)) * between(d, g + 1, g + BLOCK - d) for d in range(BLOCK))
+    norm = np.sqrt(left * right)
+    return np.divide(dot, norm, out=np.zeros(n - 1), where=norm > 0)
+
+
+def gaps(text: str, words: list[str], word_char: np.ndarray, terms: Terms) -> tuple[np.ndarray, np.ndarray]:
+    """(character offsets of the gaps between sentences, depth of the valley at each); `word_char` holds where the words begin."""
+    at = np.unique(np.array([m.end() for m in _SENTENCE.finditer(text) if 0 < m.end() < len(text)], dtype=np.int64))
     if not len(at):
         return at, np.empty(0)
-    bounds = np.r_[0, at, len(text)]
-    bags = [Counter(w.lower() for w in _TOKEN.findall(text[a:b])) for a, b in zip(bounds[:-1], bounds[1:])]
-    left, right = Counter(), Counter()
-    for b in bags[1 : 1 + BLOCK]:
-        right.update(b)
-    left.update(bags[0])
-    similar = np.empty(len(at))
-    for g in range(len(at)):
-        dot = sum(n * right[w] for w, n in left.items() if w in right)
-        norm = np.sqrt(float(sum(n * n for n in left.values())) * sum(n * n for n in right.values()))
-        similar[g] = dot / norm if norm else 0.0
-        if g + 1 < len(at):
-            moved = bags[g + 1]
-            left.update(moved)
-            right.subtract(moved)
-            right = +right
-            if g + 1 >= BLOCK:
-                left.subtract(bags[g + 1 - BLOCK])
-                left = +left
-            if g + 1 + BLOCK < len(bags):
-                right.update(bags[g + 1 + BLOCK])
+    code = terms.codes(words)
+    # a word belongs to the sentence in which it ends: the pattern puts a blank at the head of the next word
+    sentence = np.searchsorted(at, word_char[1:] - 1, side="right")
+    similar = similarities(code[code >= 0], sentence[code >= 0], len(at) + 1)
     depth = np.zeros(len(at))
     for sign in (1, -1):
-        s, d = similar[::sign], depth[::sign]
-        peak = -np.inf
-        last = -np.inf
-        for g in range(len(s)):
-            # the peak before a gap: as long as the similarity only falls towards it
-            peak = s[g] if s[g] >= last else peak
-            d[g] += max(peak - s[g], 0.0)
-            last = s[g]
-    for g, x in enumerate(at):
-        tail = text[max(0, x - 8) : x]
-        depth[g] += BLANK_LINE if re.search(r"\n[^\S\n]*\n\s*$", tail) else LINE_END if tail.endswith("\n") else 0
-    return at, depth
-
-
-def split_text(text: str, bpe: Bpe, max_tokens: int, overlap: int) -> list[tuple[int, int, int, int, str]]:
+        s = similar[::sign]
+        # the peak before a gap: where the similarity last began to fall towards it
+        rising = np.r_[True, s[1:] >= s[:-1]]
+        depth[::sign] += s[np.maximum.accumulate(np.where(rising, np.arange(len(s)), 0))] - s
+    tails = [text[max(0, x - 8) : x] for x in at]
+    return at, depth + np.array([BLANK_LINE if _BLANK_LINE.search(t) else LINE_END if _LINE.search(t) else 0.0 for t in tails])
+
+
+def split_text(text: str, bpe: Bpe, max_tokens: int, overlap: int, terms: Terms | None = None) -> list[tuple[int, int, int, int, str]]:
     """Pieces (first token, end token, tokens, shared with the piece before, text); [] when the text fits.
 
     Every piece has at most max_tokens tokens of the text and at most max_tokens when encoded by itself.
     Neighbours share exactly `overlap` tokens; the text of a piece whose first token lies inside a character begins with
     that character. Where a window has no gap the cut falls between words, within a word longer than the window
-    between characters.
+    between characters. A limit that not even a piece just longer than the overlap keeps is an error.
     """
     if not 0 <= overlap < max_tokens // 2:
         raise ValueError("the overlap must be less than half of max_tokens")
@@ -93,8 +118,8 @@ def split_text(text: str, bpe: Bpe, max_tokens: int, overlap: int) -> list[tuple
     lengths = bpe.byte_lengths()[ids]
     token_byte = np.r_[0, np.cumsum(lengths)]
     word_token = np.r_[0, np.cumsum(sizes)]
-    word_char = np.r_[0, np.cumsum([len(w) for w in words])]
-    at, depth = gaps(text)
+    word_char = np.r_[0, np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)))]
+    at, depth = gaps(text, words, word_char, terms or Terms())
     # a gap counts at the word that begins at or before it: the pattern puts a blank at the head of the next word
     slot = np.searchsorted(word_char, at, side="right") - 1
     gap_token = word_token[slot]
@@ -110,34 +135,37 @@ def split_text(text: str, bpe: Bpe, max_tokens: int, overlap: int) -> list[tuple
             b -= 1
         return data[b : int(token_byte[end])].decode()
 
+    def cut(start: int, limit: int) -> int:
+        """Where the piece from `start` ends."""
+        if total - start <= limit:
+            return total
+        low, high = start + max(int(limit * LEAST_FILL), overlap + 1), start + limit
+        first, last = np.searchsorted(gap_token, (low, high + 1))
+        if first < last:
+            inside = depth[first:last]
+            return int(gap_token[last - 1 - int(inside[::-1].argmax())])
+        end = int(word_token[int(np.searchsorted(word_token, high, side="right")) - 1])
+        if end < low:
+            end = high
+            while end > low and not begins_char(end):
+                end -= 1
+        return end
+
     out: list[tuple[int, int, int, int, str]] = []
-    start = 0
+    start, limit = 0, max_tokens
     while True:
-        limit = max_tokens
-        while True:
-            if total - start <= limit:
-                end = total
-            else:
-                low, high = start + max(int(limit * LEAST_FILL), overlap + 1), start + limit
-                inside = np.flatnonzero((gap_token >= low) & (gap_token <= high))
-                if len(inside):
-                    end = int(gap_token[inside[np.lexsort((gap_token[inside], depth[inside]))[-1]]])
-                else:
-                    w = int(np.searchsorted(word_token, high, side="right")) - 1
-                    end = int(word_token[w])
-                    if end < low:
-                        end = high
-                        while end > low and not begins_char(end):
-                            end -= 1
-            body = piece(start, end)
-            over = int(bpe.count([body])[0]) - max_tokens
-            if over <= 0 or limit <= 2 * overlap + 2:
-                break
-            limit -= over
+        end = cut(start, limit)
+        body = piece(start, end)
+        over = int(bpe.count([body])[0]) - max_tokens
+        if over > 0:  # cut apart from its neighbours the text may need more tokens: try a shorter piece
+            if limit <= overlap + 1:
+                raise ValueError(f"no piece of {max_tokens} tokens at token {start} is longer than the overlap")
+            limit = max(limit - over, overlap + 1)
+            continue
         out.append((start, end, end - start, overlap if out else 0, body))
         if end >= total:
             return out
-        start = end - overlap
+        start, limit = end - overlap, max_tokens
 
 
 def split_oversized(df: DataFrame, key: str, text: str, path: str, max_tokens: int, overlap: int) -> DataFrame:
@@ -150,17 +178,16 @@ def split_oversized(df: DataFrame, key: str, text: str, path: str, max_tokens: i
     schema = T.StructType([T.StructField(key, source.schema["__key"].dataType), *(T.StructField(n, t) for n, t in fields)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = load(path)
+        bpe, terms = load(path), Terms()
         types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for a, b in chunks(texts):
                 rows, owners = [], []
-                for i in range(a, b):
-                    if texts[i] and len(texts[i]) * 4 > max_tokens:
-                        for n, p in enumerate(split_text(texts[i], bpe, max_tokens, overlap)):
-                            rows.append((n + 1, *p))
-                            owners.append(i)
+                for i in a + np.flatnonzero(bpe.count(texts[a:b]) > max_tokens):
+                    for n, p in enumerate(split_text(texts[i], bpe, max_tokens, overlap, terms)):
+                        rows.append((n + 1, *p))
+                        owners.append(i)
                 if rows:
                     columns = [pa.array(c, t) for c, t in zip(zip(*rows), types)]
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owners, pa.int64())), *columns], names=schema.names)

@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -81,10 +82,23 @@ def test_pieces_keep_to_the_limit(bpe):
 
 def test_the_deepest_valley_is_the_topic_change():
     text = " ".join(SENTENCES[:2] * 8 + SENTENCES[2:4] * 8)
-    at, depth = splitting.gaps(text)
+    words, _ = encoding.load(PATH).words(text)
+    at, depth = splitting.gaps(text, words, np.cumsum([0, *map(len, words)]), splitting.Terms())
     assert text[at[depth.argmax()] :].startswith("Bread")
 
 
+def test_similarities_equal_counting():
+    rng = random.Random(2)
+    for n in (2, 3, 7, 30):
+        words = [[rng.choice("abcdefgh") for _ in range(rng.randint(0, 6))] for _ in range(n)]
+        term, place = np.array([ord(x) for s in words for x in s], dtype=np.int64), np.array([i for i, s in enumerate(words) for _ in s], dtype=np.int64)
+        got = splitting.similarities(term, place, n)
+        for g in range(n - 1):
+            left, right = (Counter(x for s in part for x in s) for part in (words[max(0, g + 1 - splitting.BLOCK) : g + 1], words[g + 1 : g + 1 + splitting.BLOCK]))
+            norm = (sum(v * v for v in left.values()) * sum(v * v for v in right.values())) ** 0.5
+            assert got[g] == pytest.approx(sum(left[k] * right[k] for k in left) / norm if norm else 0.0)
+
+
 def test_split_oversized(spark, bpe):
     long = " ".join(SENTENCES * 60)
     df = spark.createDataFrame([(1, long, 1), (2, "short", 1), (3, None, 1), (4, "", 1)], "doc_id long, text string, piece_no int")
@@ -117,6 +131,10 @@ def test_mixture_reaches_the_shares(spark):
     mixed = mixing.mixture(df, shares, largest)
     report = {r.source: r for r in mixing.report(mixed, shares).collect()}
     live = {"a": 0.5, "b": 0.3, "c": 0.2}
+    block = max(sum(s.quota for s in shares) / mixing.BLOCKS, largest)
+    assert all(abs(report[s.source].tokens - s.quota) <= block for s in shares)
+    ends = [(r.source, r.position, r.position + r.n_tokens) for r in mixed.orderBy("source", "position").collect()]
+    assert all(b == c for (s, _, b), (t, c, _) in zip(ends, ends[1:]) if s == t)  # the copies of a source lie end to end
     assert all(abs(report[s].actual_share - x) < 0.01 for s, x in live.items()) and report["d"].tokens == 0
     used = {(r.doc_id): r.n for r in mixed.groupBy("doc_id").agg(F.count("*").alias("n")).collect()}
     cap = {"a": 3, "b": 4, "c": 2}
@@ -172,6 +190,18 @@ def test_labels_paragraphs_windows(spark):
     assert language.windows("x" * 300).shape == (3, language.WINDOW) and language.windows("").shape == (1, language.WINDOW)
 
 
+def test_sample_takes_different_texts_of_every_language(spark, monkeypatch):
+    monkeypatch.setattr(language, "SAMPLE_TEXTS", 20)
+    texts = [("the same advertisement over and over, word for word " + "!" * 5, "en")] * 3000 + [(f"another advertisement, the one with the number {k} on it", "en-US") for k in range(400)]
+    texts += [(f"une annonce assez longue pour le tri, avec le nombre {k}", "fra") for k in range(7)] + [("short", "de"), (None, "de"), ("a text without a usable label, longer than forty", "??")]
+    df = spark.createDataFrame(texts, "text string, label string")
+    rows = language.labelled_sample(df, "text", "label").collect()
+    assert len({r.text for r in rows}) == len(rows)
+    assert {x: sum(r.lang == x for r in rows) for x in ("en", "fr", "de")} == {"en": 20, "fr": 7, "de": 0}
+    assert {r.text for r in language.labelled_sample(df.repartition(7), "text", "label").collect()} == {r.text for r in rows}
+    assert language.labelled_sample(df.limit(0), "text", "label").count() == 0
+
+
 def test_languages_of(spark, model):
     rng = random.Random(5)
     mixed = made("vi", rng) + "\n\n* 123 *\n\n" + made("ja", rng) + "\n\n" + made("vi", rng)
