@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from postmill.session import checkpointed, within_broadcast_bound
+from postmill.session import broadcast_if_small, checkpointed
 
 #: Delimiter candidates. A hyphen between digits is a range; a tight slash is another candidate than a spaced one.
 STRONG = {
@@ -42,11 +42,9 @@ WEAK = {
     "conjunction": r"\s+(?:và|and)\s+",
 }
 CANDIDATES = STRONG | WEAK
-#: Above this many candidates in one value only the weak ones are left open, the strong ones are taken.
-MAX_OPEN = 6
 #: Times a value must stand alone to be known.
 MIN_SUPPORT = 2
-#: The table of known values with a weak delimiter inside is broadcast up to this size, else joined by shuffle.
+#: Tables up to this size are broadcast, larger ones joined by shuffle.
 MAX_BROADCAST_ROWS = 20_000
 
 _PLAIN = ",;|/•●▪、，；&\n\r-–— "
@@ -69,12 +67,20 @@ def protect(text: Column) -> Column:
     return F.array_join(F.transform(pieces, lambda x, i: F.when(i % 2 == 1, F.translate(F.trim(x), _PLAIN, _MARKS)).otherwise(x)), "")
 
 
+_BLANKS = " \t\n\r\f\u000b\u00a0\u3000"
+
+
 def _trim(text: Column) -> Column:
-    return F.regexp_replace(text, r"^[\s\u00a0\u3000]+|[\s\u00a0\u3000]+$", "")
+    return F.btrim(text, F.lit(_BLANKS))
+
+
+def _blank(text: Column) -> Column:
+    return F.btrim(text, F.lit(" \t\n\r\f\u000b")) == ""
 
 
 def restore(piece: Column) -> Column:
     """The written value of a piece: marks undone, blanks, enclosing quotes and brackets trimmed."""
+    # each step names the text once: lambdas share no subexpressions, and a text named twice per step would be computed 2^steps times
     t = _trim(F.translate(piece, _MARKS, _PLAIN))
     t = _trim(F.regexp_replace(t, r"""(?s)^"([^"]*)"$|^'([^']*)'$""", "$1$2"))
     return _trim(F.regexp_replace(t, r"(?s)^\[([^\[\]]*)\]$", "$1"))
@@ -82,7 +88,7 @@ def restore(piece: Column) -> Column:
 
 def value_key(piece: Column) -> Column:
     """What a value is known by: lower case, without a remark in parentheses at its end."""
-    return F.lower(_trim(F.regexp_replace(restore(piece), r"\s*\([^()]*\)\s*$", "")))
+    return F.lower(_trim(F.regexp_replace(restore(piece), r"\s*\([^()]*\)$", "")))
 
 
 #: Words of addresses. Fixed vocabulary.
@@ -96,14 +102,18 @@ def piece_type(piece: Column) -> Column:
 
 
 def _is_address(piece: Column) -> Column:
-    parts = F.split(piece, ",")
+    last = F.substring_index(piece, ",", -1)
     other = "|".join(f"(?:{p})" for n, p in CANDIDATES.items() if n != "comma")
-    return ~piece.rlike(other) & (F.size(parts) >= 2) & piece.rlike(STREET + "|" + WARD) & (piece_type(F.element_at(parts, -1)) == "name") & ~F.element_at(parts, -1).rlike(r"\d")
+    return piece.contains(",") & ~last.rlike(r"\d") & piece.rlike(STREET + "|" + WARD) & (piece_type(last) == "name") & ~piece.rlike(other)
+
+
+def _is_quoted(piece: Column) -> Column:
+    return piece.rlike(r"""^\s*("[^"]*"|'[^']*')\s*$""")
 
 
 def _pieces(protected: Column, pattern: str | Column) -> Column:
     """Non-blank pieces in order."""
-    return F.filter(F.split(protected, pattern, -1), lambda x: x.rlike(r"[^\s]"))
+    return F.filter(F.split(protected, pattern, -1), lambda x: ~_blank(x))
 
 
 def _layout(protected: Column) -> Column:
@@ -111,8 +121,9 @@ def _layout(protected: Column) -> Column:
     marks = []
     for name, pattern in CANDIDATES.items():
         kinds = F.array_distinct(F.transform(_pieces(protected, pattern), piece_type))
-        marks.append(F.when(protected.rlike(pattern), F.concat(F.lit(name), F.when(F.size(kinds) <= 1, F.lit("=")).otherwise(F.lit("~")))))
-    marks.append(F.when(protected.rlike(QUOTED), F.lit("quoted!")))
+        marks.append(F.when(protected.rlike(pattern), F.when(F.size(kinds) <= 1, F.lit(f"{name}=")).otherwise(F.lit(f"{name}~"))))
+    quotes = protected.contains('"') | protected.contains("'")
+    marks.append(F.when(quotes, F.when(protected.rlike(QUOTED), F.lit("quoted!"))))
     return F.concat_ws(" ", *marks)
 
 
@@ -124,9 +135,7 @@ def _union(names: tuple[str, ...] | list[str]) -> str:
 
 def _subsets(layout: str) -> list[tuple[str, ...]]:
     names = [x[:-1] for x in layout.split() if x != "quoted!"]
-    taken = [n for n in names if n in STRONG] if len(names) > MAX_OPEN else []
-    free = [n for n in names if n not in taken]
-    return [tuple(taken) + c for k in range(len(free) + 1) for c in combinations(free, k)]
+    return [c for k in range(len(names) + 1) for c in combinations(names, k)]
 
 
 def _known(pieces: DataFrame) -> DataFrame:
@@ -145,65 +154,80 @@ def _decide(values: DataFrame, known: DataFrame) -> DataFrame:
     rows = [(lay, ",".join(s), _union(s), _union([x for x in s if x in STRONG]), _union([x for x in s if x in WEAK])) for lay in layouts for s in _subsets(lay)]
     schema = T.StructType([T.StructField(c, T.StringType()) for c in ("layout", "subset", "pattern", "strong", "weak")])
     options = spark.createDataFrame(rows, schema)
-    tried = values.join(F.broadcast(options), "layout").withColumn("pieces", F.when(F.col("pattern") == "", F.array("protected")).otherwise(_pieces(F.col("protected"), F.col("pattern"))))
-    counts = tried.groupBy("source", "layout", "subset").agg(
-        F.sum("n").alias("rows"), (F.sum(F.size("pieces") * F.col("n")) / F.sum("n")).alias("mean"), (F.sum(F.size("pieces") * F.size("pieces") * F.col("n")) / F.sum("n")).alias("square")
-    )
-    pieces = (
-        tried.select("source", "layout", "subset", "n", F.explode("pieces").alias("piece"))
-        .withColumn("fixed", F.col("piece").rlike(r"""^\s*("[^"]*"|'[^']*')\s*$""") | _is_address(F.col("piece")))
-        .groupBy("source", "layout", "subset", "fixed", value_key(F.col("piece")).alias("key"))
-        .agg(F.sum("n").alias("n"))
-    )
-    regular = (
-        pieces.join(known.withColumn("known", F.lit(True)), ["source", "key"], "left")
+    whole = F.when(F.col("pattern") == "", F.array("protected")).otherwise(_pieces(F.col("protected"), F.col("pattern")))
+    tried = values.join(broadcast_if_small(options, MAX_BROADCAST_ROWS), "layout").select("source", "layout", "subset", "n", whole.alias("pieces"))
+    # the numbers of pieces travel with the first piece, so that the texts are split once
+    each = tried.select("source", "layout", "subset", "n", F.size("pieces").cast("double").alias("size"), F.posexplode("pieces").alias("at", "piece"))
+    first = F.when(F.col("at") == 0, F.col("n")).otherwise(0)
+    # equal pieces are counted before their keys are found: most stand in many texts and subsets
+    raw = each.groupBy("source", "layout", "subset", "piece").agg(F.sum("n").alias("n"), F.sum(first).alias("rows"), F.sum(first * F.col("size")).alias("sizes"), F.sum(first * F.col("size") * F.col("size")).alias("squares"))
+    keyed = raw.withColumn("key", F.when(_is_quoted(F.col("piece")) | _is_address(F.col("piece")), F.lit(None)).otherwise(value_key(F.col("piece"))))
+    marked = keyed.groupBy("source", "layout", "subset", "key").agg(*(F.sum(c).alias(c) for c in ("n", "rows", "sizes", "squares")))
+    fits = F.col("key").isNull() | F.col("known")
+    scored = (
+        marked.join(known.withColumn("known", F.lit(True)), ["source", "key"], "left")
         .groupBy("source", "layout", "subset")
-        .agg((F.sum(F.when(F.col("fixed") | F.col("known"), F.col("n")).otherwise(0)) / F.sum("n")).alias("regularity"))
+        .agg((F.sum(F.when(fits, F.col("n")).otherwise(0)) / F.sum("n")).alias("regularity"), (F.sum("sizes") / F.sum("rows")).alias("mean"), (F.sum("squares") / F.sum("rows")).alias("square"))
     )
     deviation = F.sqrt(F.greatest(F.lit(0.0), F.col("square") - F.col("mean") * F.col("mean"))) / F.col("mean")
-    scored = counts.join(regular, ["source", "layout", "subset"]).withColumn("score", F.col("regularity") * (0.9 + 0.1 / (1 + deviation)))
+    scored = scored.withColumn("score", F.col("regularity") * (0.9 + 0.1 / (1 + deviation)))
     best = scored.groupBy("source", "layout").agg(F.max_by("subset", F.struct("score", F.size(F.split("subset", ",")), "subset")).alias("subset"))
-    return best.join(F.broadcast(options), ["layout", "subset"]).select("source", "layout", "subset", "strong", "weak")
+    return best.join(broadcast_if_small(options, MAX_BROADCAST_ROWS), ["layout", "subset"]).select("source", "layout", "subset", "strong", "weak")
 
 
 def _split(values: DataFrame, decisions: DataFrame) -> DataFrame:
     """`values` with the pieces of the strong split and the weak pattern ('' = none)."""
-    out = values.join(F.broadcast(decisions), ["source", "layout"])
+    out = values.join(broadcast_if_small(decisions, MAX_BROADCAST_ROWS), ["source", "layout"])
     return out.withColumn("pieces", F.when(F.col("strong") == "", F.array("protected")).otherwise(_pieces(F.col("protected"), F.col("strong"))))
 
 
-def _weak_parts(pieces: DataFrame, known: DataFrame) -> DataFrame:
+def _weak_parts(pieces: DataFrame, inner: DataFrame) -> DataFrame:
     """(source, piece, weak) -> parts: split by the weak delimiters, keeping runs that are known values.
 
-    A run of up to three slash-joined parts that is a known value stays whole, as does the entire piece.
+    `inner` (source, key): the known values with a weak delimiter inside. The longest run of parts that is one of them, as written, stays whole, from
+    the left; runs are tried up to the most parts that any known value has.
     """
-    distinct = pieces.select("source", "piece", "weak").distinct().withColumn("parts", _pieces(F.col("piece"), F.col("weak")))
-
-    def joined(k: int) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.size("parts")), lambda i: F.array_join(F.slice("parts", i, F.lit(k)), "/"))
+    every = _union(list(WEAK))
+    most = inner.agg(F.max(F.size(F.split("key", every, -1)))).first()[0] or 1  # one number
+    distinct = pieces.select("source", "piece", "weak").distinct()
+    cut = distinct.withColumn("raw", F.split("piece", F.col("weak"), -1)).withColumn("marks", F.regexp_extract_all("piece", F.concat(F.lit("("), F.col("weak"), F.lit(")")), F.lit(1)))
+    # where each part begins and ends in the piece, blank ones left out
+    spans = F.aggregate(
+        F.sequence(F.lit(0), F.size("raw") - 1),
+        F.struct(F.lit(1).alias("at"), F.array().cast("array<struct<begin:int,end:int>>").alias("done")),
+        lambda a, i: F.struct(
+            (a["at"] + F.length(F.get("raw", i)) + F.coalesce(F.length(F.get("marks", i)), F.lit(0))).alias("at"),
+            F.when(_blank(F.get("raw", i)), a["done"]).otherwise(F.concat(a["done"], F.array(F.struct(a["at"].alias("begin"), (a["at"] + F.length(F.get("raw", i))).alias("end"))))).alias("done"),
+        ),
+        lambda a: a["done"],
+    )
+    cut = cut.select("source", "piece", "weak", spans.alias("spans"))
 
-    runs = [joined(k) for k in (2, 3)]
-    tried = distinct.select("source", "piece", "weak", F.explode(F.array_distinct(F.concat(F.array("piece"), *runs))).alias("run")).withColumn("key", value_key(F.col("run")))
-    hits = tried.join(known, ["source", "key"], "left_semi").groupBy("source", "piece", "weak").agg(F.collect_set("key").alias("keys"))
-    with_keys = distinct.join(hits, ["source", "piece", "weak"], "left").withColumn("keys", F.coalesce("keys", F.array().cast("array<string>")))
+    def run(i: Column, k: Column | int) -> Column:
+        begin = F.get("spans", i - 1)["begin"]
+        return F.substring("piece", begin, F.get("spans", i + k - 2)["end"] - begin)
 
-    def fold(parts: Column, keys: Column) -> Column:
-        def step(done: Column, i: Column) -> Column:
-            def run(k: int) -> Column:
-                return F.array_join(F.slice(parts, i, F.lit(k)), "/")
+    def lengths(i: Column) -> Column:
+        """2, 3 ... up to what `most` and the parts from the i-th allow."""
+        top = F.least(F.lit(most), F.size("spans") - i + 1)
+        return F.when(top >= 2, F.sequence(F.lit(2), top)).otherwise(F.array().cast("array<int>"))
 
-            fits = [(F.size(parts) >= i + k - 1) & F.array_contains(keys, value_key(run(k))) for k in (2, 3)]
-            k = F.when(fits[1], 3).when(fits[0], 2).otherwise(1)
-            text = F.when(fits[1], run(3)).when(fits[0], run(2)).otherwise(F.element_at(parts, i))
-            skip = F.when(F.size(done) > 0, F.element_at(done, -1)["next"]).otherwise(F.lit(1)) > i
-            return F.when(skip, done).otherwise(F.concat(done, F.array(F.struct(text.alias("text"), (i + k).alias("next")))))
+    starts = F.when(F.size("spans") > 0, F.sequence(F.lit(1), F.size("spans"))).otherwise(F.array().cast("array<int>"))
+    runs = F.flatten(F.transform(starts, lambda i: F.transform(lengths(i), lambda k: run(i, k))))
+    tried = cut.select("source", "piece", "weak", F.explode(F.array_distinct(F.concat(F.array("piece"), runs))).alias("run")).withColumn("key", value_key(F.col("run")))
+    hits = tried.join(broadcast_if_small(inner, MAX_BROADCAST_ROWS), ["source", "key"], "left_semi").groupBy("source", "piece", "weak").agg(F.collect_set("key").alias("keys"))
+    with_keys = cut.join(hits, ["source", "piece", "weak"], "left").withColumn("keys", F.coalesce("keys", F.array().cast("array<string>")))
 
-        empty = F.array().cast("array<struct<text:string,next:int>>")
-        folded = F.aggregate(F.sequence(F.lit(1), F.size(parts)), empty, step)
-        return F.transform(folded, lambda x: x["text"])
+    def step(done: Column, i: Column) -> Column:
+        k = F.coalesce(F.array_max(F.filter(lengths(i), lambda k: F.array_contains("keys", value_key(run(i, k))))), F.lit(1))
+        skip = F.when(F.size(done) > 0, F.element_at(done, -1)["next"]).otherwise(F.lit(1)) > i
+        return F.when(skip, done).otherwise(F.concat(done, F.array(F.struct(run(i, k).alias("text"), (i + k).alias("next")))))
 
-    whole = F.array_contains("keys", value_key(F.col("piece")))
-    return with_keys.select("source", "piece", "weak", F.when(whole | (F.size("parts") < 2), F.array("piece")).otherwise(fold(F.col("parts"), F.col("keys"))).alias("parts"))
+    empty = F.array().cast("array<struct<text:string,next:int>>")
+    plain = F.transform(starts, lambda i: run(i, 1))
+    folded = F.transform(F.aggregate(starts, empty, step), lambda x: x["text"])
+    whole = F.array_contains("keys", value_key(F.col("piece"))) | (F.size("spans") < 2)
+    return with_keys.select("source", "piece", "weak", F.when(whole, F.array("piece")).when(F.size("keys") == 0, plain).otherwise(folded).alias("parts"))
 
 
 def unpack(df: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
@@ -218,10 +242,10 @@ def unpack(df: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
     rows = (
         df.select(*(df[k].alias(a) for k, a in zip(keys, ks)), stack)
         .select(*ks, "x.source", "x.text")
-        .filter(F.col("text").rlike(r"[^\s]"))
+        .filter(~_blank(F.col("text")))
         .distinct()
         .withColumn("protected", protect(F.col("text")))
-        .filter(F.col("protected").rlike(r"[^\s]"))
+        .filter(~_blank(F.col("protected")))
         .withColumn("layout", _layout(F.col("protected")))
     )
     rows = checkpointed(rows)  # read six times below; the layouts are costly to find
@@ -236,7 +260,7 @@ def unpack(df: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
     easy = split.filter(F.col("weak") == "").select(*ks, "source", F.posexplode("pieces").alias("at", "piece")).select(*ks, "source", (F.col("at") + 1).alias("pos"), "piece")
     hard = split.filter(F.col("weak") != "").select(*ks, "source", "text", "weak", F.posexplode("pieces").alias("at", "piece"))
     inner = known.filter(reduce(lambda a, b: a | b, (F.col("key").rlike(p) for p in WEAK.values())))
-    parts = _weak_parts(hard, F.broadcast(inner) if within_broadcast_bound(inner, MAX_BROADCAST_ROWS) else inner)
+    parts = _weak_parts(hard, checkpointed(inner))
     order = Window.partitionBy(*ks, "source", "text").orderBy("at", "sub")
     weak = (
         hard.join(parts, ["source", "piece", "weak"])
