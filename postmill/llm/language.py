@@ -219,7 +219,7 @@ def labelled_sample(texts: DataFrame, text: str, label: str) -> DataFrame:
     known = texts.select(F.col(text).alias("text"), canonical_label(F.col(label)).alias("lang")).filter(F.col("lang").isNotNull() & (F.length("text") >= SHORTEST))
     hashed = known.withColumn("h", F.xxhash64("text"))
     n = {r[0]: r[1] for r in hashed.groupBy("lang").agg(F.approx_count_distinct("h")).collect()}  # at most one row per language
-    top = reduce(lambda out, x: F.when(F.col("lang") == x[0], F.lit(int(min(1.0, OVERDRAWN * SAMPLE_TEXTS / max(x[1], 1)) * (2**64 - 1)) - 2**63)).otherwise(out), n.items(), F.lit(2**63 - 1))
+    top = reduce(lambda out, x: F.when(F.col("lang") == x[0], F.lit(min(2**64 - 1, 2**64 * OVERDRAWN * SAMPLE_TEXTS // max(x[1], 1)) - 2**63)).otherwise(out), n.items(), F.lit(2**63 - 1))
     rows = hashed.filter(F.col("h") <= top).groupBy("lang", "h").agg(F.min("text").alias("text"))
     ranked = rows.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h")))
     return ranked.filter(F.col("k") <= SAMPLE_TEXTS).select("text", "lang")
