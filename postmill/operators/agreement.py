@@ -20,11 +20,10 @@ LEAST_VALID, LOW, HIGH = 10, 2.5, 97.5
 
 @lru_cache(maxsize=200_000)
 def is_match(a: str, b: str) -> bool:
-    """Whether two normalised names mean the same skill."""
-    x, y = set(a.split()), set(b.split())
-    if x | y and len(x & y) / len(x | y) >= JACCARD:
-        return True
-    return SequenceMatcher(None, a, b).ratio() >= RATIO
+    """Whether two normalised names mean the same skill: enough shared words, or else a like sequence of characters."""
+    words = (frozenset(a.split()), frozenset(b.split()))
+    shared, every = len(words[0] & words[1]), len(words[0] | words[1])
+    return (every > 0 and shared >= JACCARD * every) or SequenceMatcher(None, a, b).ratio() >= RATIO
 
 
 def match_records(mentions: DataFrame, left: str, right: str) -> DataFrame:
@@ -148,23 +147,13 @@ def error_cases(matches: DataFrame, left: str, right: str) -> DataFrame:
 def bootstrap_interval(values: DataFrame, value: str, rounds: int = 1000, seed: int = 42) -> DataFrame:
     """One row (mean, low, high): percentile interval of the mean by Poisson bootstrap.
 
-    Every row draws its weight for every round from its own hash, so one pass gives all rounds and nothing is
-    gathered; the sums per round are combined before the shuffle. Null with fewer than LEAST_VALID rounds that drew a row.
+    Equal values are drawn together, see resampled, so the interval doesn't depend on how rows are partitioned. Null with fewer than
+    LEAST_VALID rounds that drew a row.
     """
-    rows = values.filter(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v"), F.monotonically_increasing_id().alias("i"))
-
-    def draw(batches):
-        total, weight = np.zeros(rounds), np.zeros(rounds)
-        for pdf in batches:
-            for v, i in zip(pdf["v"], pdf["i"]):
-                w = np.random.default_rng([seed, int(i)]).poisson(1.0, rounds)
-                total += w * v
-                weight += w
-        yield pd.DataFrame({"round": np.arange(rounds), "total": total, "weight": weight})
-
-    sums = rows.mapInPandas(draw, "round int, total double, weight double").groupBy("round").agg(F.sum("total").alias("t"), F.sum("weight").alias("w")).filter("w > 0")
-    means = sums.select((F.col("t") / F.col("w")).alias("m"))
-    mean = values.agg(F.avg(value))
+    rows = values.filter(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v"))
+    drawn = resampled(rows.groupBy("v").agg(F.count("*").alias("n")), ["v"], rounds, seed)
+    means = drawn.groupBy("round").agg((F.sum(F.col("n") * F.col("v")) / F.sum("n")).alias("m"))
+    mean = rows.agg(F.avg("v"))
     ok = F.count("*") >= LEAST_VALID
     return means.agg(F.when(ok, F.percentile("m", F.lit(LOW / 100))).alias("low"), F.when(ok, F.percentile("m", F.lit(HIGH / 100))).alias("high")).withColumn("mean", mean.scalar()).select("mean", "low", "high")
 

@@ -17,6 +17,8 @@ from postmill.operators.units import UnitGraph, convert
 #: Powers of ten that a written amount may leave out.
 SCALES = {"": 1, "k": 1_000, "man": 10_000, "m": 1_000_000}
 TARGET = "k VND/month"
+#: Units read to the driver; a longer table is refused.
+MAX_FACTORS = 10_000
 
 
 def pay_units(factors: list[tuple[str, str, int, int]]) -> UnitGraph:
@@ -154,10 +156,12 @@ def monthly_kvnd(df: DataFrame, factors: DataFrame, salary: str = "salary", desc
 
     Both are null when no amount is stated or its unit can't be told. Columns of these names and of those that
     parse_pay adds are replaced, repeated rows stay repeated. `factors` (unit, kind, numer, denom) is a
-    table of units: its rows are read to the driver to build the graph, at most a few hundred.
+    table of units: its rows are read to the driver to build the graph, at most MAX_FACTORS.
     """
     spark: SparkSession = df.sparkSession
-    rows = [tuple(r) for r in factors.filter(F.col("kind").isin("currency", "period")).select("unit", "kind", "numer", "denom").limit(10_000).collect()]
+    rows = [tuple(r) for r in factors.filter(F.col("kind").isin("currency", "period")).select("unit", "kind", "numer", "denom").limit(MAX_FACTORS + 1).collect()]
+    if len(rows) > MAX_FACTORS:
+        raise ValueError(f"more than {MAX_FACTORS} units")
     df = df.drop("low_kvnd", "high_kvnd", "pay_low", "pay_high", "pay_unit")
     conversions = pay_units(rows).table(spark, [TARGET])
     parsed = parse_pay(df, salary, description)

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql import types as T
+
+from postmill.session import checkpointed
 
 
 class MissingColumns(ValueError):
@@ -55,19 +60,27 @@ def keep_last(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
 def number_rows(df: DataFrame, order: list[str], name: str = "job_id", start: int = 1) -> DataFrame:
     """Consecutive numbers in the order of the columns, without a single-partition window.
 
-    Rows are range-partitioned and counted per partition; the offsets, one per partition, come to the driver.
+    Rows are sorted into range partitions; their counts, one per partition, come to the driver as offsets, and each partition
+    numbers its rows as they stand. Equal rows are numbered in any order.
     """
-    from postmill.session import checkpointed
-
     parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     ranged = checkpointed(df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()))
     counts = {r[0]: r[1] for r in ranged.groupBy("__part").count().collect()}
     offsets, total = {}, start
     for p in sorted(counts):
         offsets[p], total = total, total + counts[p]
-    offset = F.create_map(*(F.lit(x) for kv in offsets.items() for x in kv)) if offsets else F.create_map(F.lit(0), F.lit(start))
-    within = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
-    return ranged.withColumn(name, (offset[F.col("__part")] + within - 1).cast("long")).drop("__part")
+    kept = [i for i, c in enumerate(ranged.columns) if c not in ("__part", name)]
+    fields = [f for f in ranged.schema.fields if f.name not in ("__part", name)]
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = 0
+        for batch in batches:
+            if batch.num_rows:
+                first = offsets[batch.column(batch.num_columns - 1)[0].as_py()] + seen
+                seen += batch.num_rows
+                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), pa.array(np.arange(first, first + batch.num_rows))], names=[*(batch.schema.names[i] for i in kept), name])
+
+    return ranged.mapInArrow(number, T.StructType([*fields, T.StructField(name, T.LongType())]))
 
 
 def patch(base: DataFrame, updates: DataFrame, key: str, columns: list[str]) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from postmill.functions.text import blank, category_key, is_ascii, skill_key
+from postmill.session import round_checkpointed
 
 
 class AliasCycle(ValueError):
@@ -25,19 +26,26 @@ def alias_edges(groups: DataFrame) -> DataFrame:
     return edges.groupBy("variant").agg(F.max_by("canonical", F.struct("ord", "canonical")).alias("canonical"))
 
 
-def close_aliases(edges: DataFrame, passes: int = 5) -> DataFrame:
-    """(variant, canonical) with chains resolved by pointer jumping: `passes` self-joins reach 2**passes links.
+def close_aliases(edges: DataFrame) -> DataFrame:
+    """(variant, canonical) with chains of any length resolved by pointer jumping; `edges` has one row per variant.
 
-    Raises AliasCycle with up to three examples when a variant leads back to itself.
+    Each round doubles the links followed. Variants still on the way after more links than there are edges lead into a
+    cycle: AliasCycle names up to three of them. An edge from a name to itself is a cycle too.
     """
-    now = edges.select("variant", "canonical")
-    for _ in range(passes):
+    now = round_checkpointed(edges.select("variant", "canonical"))
+    n = now.count()
+    reach = 1
+    while True:
         step = now.select(F.col("variant").alias("canonical"), F.col("canonical").alias("next"))
-        now = now.join(step, "canonical", "left").select("variant", F.coalesce("next", "canonical").alias("canonical"))
-    cyclic = [r[0] for r in now.filter(F.col("variant") == F.col("canonical")).select("variant").limit(3).collect()]
-    if cyclic:
-        raise AliasCycle(f"aliases lead back to themselves: {', '.join(cyclic)}")
-    return now
+        joined = round_checkpointed(now.join(step, "canonical", "left").select("variant", F.coalesce("next", "canonical").alias("canonical"), F.col("next").isNotNull().alias("moved")))
+        moving = joined.filter("moved")
+        now = joined.select("variant", "canonical")
+        if moving.isEmpty():
+            return now
+        reach *= 2
+        if reach > n:
+            found = [r[0] for r in moving.orderBy("variant").select("variant").limit(3).collect()]
+            raise AliasCycle(f"aliases lead back to themselves: {', '.join(found)}")
 
 
 def apply_aliases(mentions: DataFrame, closed: DataFrame, skill: str = "skill") -> DataFrame:
@@ -149,9 +157,13 @@ def cross_category_names(mentions: DataFrame) -> DataFrame:
 
 
 def clean_mentions(flat: DataFrame) -> DataFrame:
-    """Mentions with a normalised skill and category, one row per mention_id, blank names and null categories dropped."""
+    """Mentions with a normalised skill and category, one row per mention_id, that of its last extraction.
+
+    Blank names and null categories are dropped first. Of several rows extracted at once the greatest counts, whole.
+    """
     kept = drop_reasons(flat).filter("reason is null")
-    one = kept.groupBy("mention_id").agg(*(F.min(c).alias(c) for c in ("row_id", "skill_name", "label", "category")))
+    fields = ("row_id", "skill_name", "label", "category")
+    one = kept.groupBy("mention_id").agg(F.max(F.struct("extracted_at", *fields)).alias("x")).select("mention_id", *(F.col("x")[c].alias(c) for c in fields))
     return one.select("mention_id", "row_id", "skill_name", "label", skill_key(F.col("skill_name")).alias("skill"), category_key(F.col("category")).alias("category"))
 
 

@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from postmill.session import broadcast_if_small
+
 #: A conversion table above this many units is joined by shuffle instead of broadcast.
 MAX_BROADCAST_UNITS = 100_000
 
@@ -92,7 +94,7 @@ class UnitGraph:
         return spark.createDataFrame(rows, CONVERSION_SCHEMA)
 
 
-def convert(df: DataFrame, conversions: DataFrame, target: str, values: dict[str, str], unit: str = "unit", n_units: int | None = None) -> DataFrame:
+def convert(df: DataFrame, conversions: DataFrame, target: str, values: dict[str, str], unit: str = "unit") -> DataFrame:
     """Add for each `values` item (input column -> output column) the amount in `target`, as decimal(38,6).
 
     Left equi-join on the source unit: a row whose unit is null or unknown keeps its columns and gets null
@@ -102,8 +104,7 @@ def convert(df: DataFrame, conversions: DataFrame, target: str, values: dict[str
     chosen = conversions.filter(F.col("target") == target).select(
         F.col("unit").alias("__unit"), *(F.col(c).cast("decimal(20,0)").alias(f"__{c}") for c in ("mul_numer", "mul_denom", "add_numer", "add_denom"))
     )
-    small = n_units is None or n_units <= MAX_BROADCAST_UNITS
-    joined = df.join(F.broadcast(chosen) if small else chosen, F.col(unit) == F.col("__unit"), "left")
+    joined = df.join(broadcast_if_small(chosen, MAX_BROADCAST_UNITS), F.col(unit) == F.col("__unit"), "left")
 
     def amount(c: str) -> Column:
         scaled = (F.col(c).cast("decimal(18,6)") * F.col("__mul_numer")).cast("decimal(38,6)") / F.col("__mul_denom")

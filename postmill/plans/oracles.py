@@ -5,8 +5,8 @@ Vocabularies and patterns are those of the library; the statements themselves ar
 
 from __future__ import annotations
 
-from postmill.functions import fields, text, titles
-from postmill.plans.reference_queries import _PREFERRED, _REQUIRED, BASE_URL, DISTANCE
+from postmill.functions import fields, labels, text, titles
+from postmill.plans.reference_queries import BASE_URL, DISTANCE
 
 
 def q(s: str) -> str:
@@ -97,7 +97,7 @@ CLASSIFY = f"""(select *, case when {blank('job_title')} then 'review' when safe
  {first_hit('lower(job_title)', titles.DROP_GROUPS, 'null')} as g from {boards('posting_id, job_title')}))"""
 
 CLEAN = f"""(select mention_id, row_id, skill_name, label, {skill_key('skill_name')} as skill, {category_key('category')} as category from
- (select mention_id, min(row_id) as row_id, min(skill_name) as skill_name, min(label) as label, min(category) as category from skills_flat where not {blank('skill_name')} and category is not null group by mention_id))"""
+ (select *, row_number() over (partition by mention_id order by extracted_at desc nulls last, row_id desc nulls last, skill_name desc, label desc nulls last, category desc) as k from skills_flat where not {blank('skill_name')} and category is not null) where k = 1)"""
 
 AGG = f"""(select skill, category, count(*) as total, count(*) filter (label = 'required_skill') as required, count(*) filter (label = 'preferred_skill') as preferred,
  count(distinct row_id) as records, min(mention_id) as first, list_sort(list(distinct skill_name)) as spellings from {CLEAN} group by skill, category)"""
@@ -123,8 +123,8 @@ MAPPING = f"(select name, category, cluster_id, final, sum(m.total)::bigint as t
 
 
 def label(x: str) -> str:
-    t = f"lower(trim({x}))"
-    return f"case when {t} in ({', '.join(map(q, _REQUIRED))}) then 'required_skill' when {t} in ({', '.join(map(q, _PREFERRED))}) then 'preferred_skill' end"
+    t = f"lower(trim(regexp_replace({x}, '[\\s\u00a0]+', ' ', 'g')))"
+    return f"case when {t} in ({', '.join(map(q, labels.REQUIRED))}) then 'required_skill' when {t} in ({', '.join(map(q, labels.PREFERRED))}) then 'preferred_skill' end"
 
 
 ANNOTATIONS = f"""(select record_id, annotator, name, min(ord) as ord, arg_min(label, (ord, coalesce(label, ''), category)) as label0, (list(label order by ord, coalesce(label, ''), category))[1] as label, (list(category order by ord, coalesce(label, ''), category))[1] as category from
@@ -145,8 +145,8 @@ def kappa(a: str, b: str) -> str:
 def standard_title() -> str:
     rules = []
     for name, groups, inside, whole in titles.TITLE_RULES:
-        tests = [" and ".join(f"list_contains(w, {q(x)})" for x in g.split()) for g in groups.split(";") if g]
-        tests += [f"contains(t, {q(x)})" for x in inside.split("|") if x] + [f"t = {q(x)}" for x in whole.split("|") if x]
+        tests = [" and ".join(f"list_contains(w, {q(x)})" for x in g) for g in groups]
+        tests += [f"contains(t, {q(x)})" for x in inside] + [f"t = {q(x)}" for x in whole]
         rules.append(f"when {' or '.join(f'({x})' for x in tests)} then {q(name)}")
     merges = "case x " + " ".join(f"when {q(a)} then {q(b)}" for a, b in titles.TITLE_MERGES.items()) + " else x end"
     words = "list_filter(regexp_extract_all(lower(standardized_title), '[\\p{L}\\p{N}\\p{M}_]+'), lambda v: regexp_full_match(v, '[a-z0-9]+'))"
@@ -179,7 +179,7 @@ ORACLES: dict[str, str] = {
  coalesce(regexp_matches(lower(salary), 'sign in|đăng nhập|not found'), false) as placeholder from {boards('posting_id, salary')}) group by all""",
     "title_classify": f"select distinct job_title, decision, reason from {CLASSIFY}",
     "title_drop_breakdown": f"select reason, count(*) as count, round(count(*) * 100.0 / sum(count(*)) over (), 2) as pct from {CLASSIFY} where decision = 'drop' group by reason",
-    "title_drop_report": f"select reason, count(*) as rows, array_to_string(list_sort(list(distinct job_title)), '|') as titles from (select distinct source, job_title, reason from {CLASSIFY} where decision = 'drop') group by reason",
+    "title_drop_report": f"select reason, job_title, count(*) as rows from (select distinct source, job_title, reason from {CLASSIFY} where decision = 'drop') group by reason, job_title",
     "title_post_filter": f"""select distinct job_title, case when t = 'account manager' then 'account_manager' when contains(p, ' sales ') and not regexp_matches(t, 'presales|pre-sales|sales engineer') then 'sales_non_it' when {' or '.join(f"contains(p, ' {x} ')" for x in titles.DROP_TOKENS)} then 'keyword' end as dropped
  from (select job_title, lower(job_title) as t, ' ' || regexp_replace(lower(job_title), '[^a-z0-9]+', ' ', 'g') || ' ' as p from {boards('job_title')})""",
     "title_rule_audit": " union all ".join(

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmill.functions import fields, html, json_skills, text, titles
+from postmill.functions import fields, html, json_skills, labels, text, titles
 from postmill.operators import agreement, clusters, relational, skills
-from postmill.session import checkpointed, table
+from postmill.session import checkpointed, shared_folder, table
 from postmill.sources import sinks
 from postmill.streaming import jobs as streams
 
@@ -109,7 +108,7 @@ def title_drop_breakdown(spark: SparkSession, base: str) -> DataFrame:
 
 def title_drop_report(spark: SparkSession, base: str) -> DataFrame:
     both = _boards(spark, base, ["job_title"]).withColumn("c", titles.classify(F.col("job_title"), titles.SAFE_PATTERNS, titles.DROP_GROUPS)).filter("c.decision = 'drop'")
-    return sinks.drop_report(both.select("c.reason", "job_title")).select("reason", "rows", F.array_join("titles", "|").alias("titles"))
+    return sinks.drop_report(both.select("c.reason", "job_title"))
 
 
 def title_post_filter(spark: SparkSession, base: str) -> DataFrame:
@@ -347,21 +346,12 @@ def embedding_clusters(spark: SparkSession, base: str) -> DataFrame:
 
 # agreement
 
-#: Spellings of the two labels. Fixed vocabulary.
-_REQUIRED, _PREFERRED = ("required_skill", "required skill", "required", "must have", "bắt buộc"), ("preferred_skill", "preferred skill", "preferred", "nice to have", "ưu tiên")
-
-
-def _label(c: Column) -> Column:
-    x = F.lower(F.trim(c))
-    return F.when(x.isin(*_REQUIRED), "required_skill").when(x.isin(*_PREFERRED), "preferred_skill")
-
-
 def _annotations(spark: SparkSession, base: str) -> DataFrame:
     """(record_id, annotator, ord, name, label, category): the latest submissions, one row per name."""
     rows = table(spark, base, "annotations_unified")
     latest = rows.groupBy("record_id", "annotator").agg(F.max_by("skills", F.struct("submitted_at", F.to_json("skills"))).alias("skills"))
     each = latest.select("record_id", "annotator", F.explode("skills").alias("s")).select(
-        "record_id", "annotator", F.col("s.mention_no").alias("ord"), text.skill_match_key(F.col("s.skill_name")).alias("name"), _label(F.col("s.label")).alias("label"), text.category_key(F.col("s.category")).alias("category")
+        "record_id", "annotator", F.col("s.mention_no").alias("ord"), text.skill_match_key(F.col("s.skill_name")).alias("name"), labels.label_name(F.col("s.label")).alias("label"), text.category_key(F.col("s.category")).alias("category")
     )
     first = F.struct("ord", F.coalesce("label", F.lit("")), "category")
     return each.filter("name is not null and name != ''").groupBy("record_id", "annotator", "name").agg(F.min("ord").alias("ord"), F.min_by("label", first).alias("label"), F.min_by("category", first).alias("category"))
@@ -408,7 +398,7 @@ def _listed(spark: SparkSession, base: str) -> DataFrame:
     rows = table(spark, base, "annotations_unified")
     latest = rows.groupBy("record_id", "annotator").agg(F.max_by("skills", F.struct("submitted_at", F.to_json("skills"))).alias("skills"))
     each = latest.select("record_id", "annotator", F.posexplode("skills").alias("ord", "s")).select(
-        "record_id", "annotator", "ord", text.skill_match_key(F.col("s.skill_name")).alias("name"), _label(F.col("s.label")).alias("label"), text.category_key(F.col("s.category")).alias("category")
+        "record_id", "annotator", "ord", text.skill_match_key(F.col("s.skill_name")).alias("name"), labels.label_name(F.col("s.label")).alias("label"), text.category_key(F.col("s.category")).alias("category")
     )
     return each.filter("name is not null and name != ''")
 
@@ -505,9 +495,8 @@ def html_rows(spark: SparkSession, base: str) -> DataFrame:
 
 
 def _scratch(spark: SparkSession) -> str:
-    """A folder of its own in the cluster's shared folder; a local one where none is named."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared or tempfile.mkdtemp(prefix='postmill-stream-')}/{uuid.uuid4().hex}"
+    """A folder of its own in the shared folder."""
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
 
 
 def stream_resume(spark: SparkSession, base: str) -> DataFrame:

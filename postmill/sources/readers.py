@@ -68,16 +68,33 @@ def annotations(spark: SparkSession, path: str, annotator: str) -> DataFrame:
     raise ValueError(f"unknown format: .{suffix}")
 
 
-def alias_yaml(spark: SparkSession, path: str) -> DataFrame:
-    """(ord, canonical, variants) of a YAML file with a list `aliases`; a vocabulary, read by the driver."""
+def _yaml_documents(spark: SparkSession, path: str) -> list:
+    """The YAML document of each file under a path, in order of their names; a vocabulary, read by the driver."""
     import yaml
 
-    text = "\n".join(r[0] for r in spark.read.text(path, wholetext=True).limit(16).collect())
-    groups = (yaml.safe_load(text) or {}).get("aliases") or []
-    rows = [(i, str(g["canonical"]), [str(v) for v in g.get("variants") or []]) for i, g in enumerate(groups) if g.get("canonical")]
+    files = spark.read.text(path, wholetext=True).select("_metadata.file_path", "value").orderBy("file_path").collect()
+    return [yaml.safe_load(r.value) for r in files]
+
+
+def alias_yaml(spark: SparkSession, path: str) -> DataFrame:
+    """(ord, canonical, variants) of the lists `aliases` of all YAML files under a path, later files after earlier ones."""
+    groups = [g for d in _yaml_documents(spark, path) if isinstance(d, dict) and isinstance(d.get("aliases"), list) for g in d["aliases"]]
+    rows = [(i, str(g["canonical"]), [str(v) for v in g.get("variants") or []]) for i, g in enumerate(groups) if isinstance(g, dict) and g.get("canonical")]
     return spark.createDataFrame(rows, "ord int, canonical string, variants array<string>")
 
 
+def alias_map(groups: DataFrame) -> DataFrame:
+    """(variant, canonical) of groups (ord, canonical, variants): a variant equal to its canonical goes, the last group wins a variant."""
+    each = groups.select("ord", "canonical", F.explode("variants").alias("variant")).filter((F.col("variant") != F.col("canonical")) & (F.col("canonical") != ""))
+    return each.groupBy("variant").agg(F.max_by("canonical", F.struct("ord", "canonical")).alias("canonical"))
+
+
+def category_overrides(spark: SparkSession, path: str) -> DataFrame:
+    """(final, category) of YAML files that map names to categories, the names lower case without blanks at their ends; later files win."""
+    found = {str(k).strip().lower(): str(v) for d in _yaml_documents(spark, path) if isinstance(d, dict) for k, v in d.items() if v is not None}
+    return spark.createDataFrame(sorted(found.items()), "final string, category string")
+
+
 def role_list(spark: SparkSession, path: str) -> DataFrame:
     """(role): lines of a text file without blanks and comments."""
     return spark.read.text(path).select(F.trim("value").alias("role")).filter((F.col("role") != "") & ~F.col("role").startswith("#"))

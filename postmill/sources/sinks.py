@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from postmill.functions.text import file_name
 
+#: Groups of a vocabulary that is written as one file.
+MAX_VOCABULARY = 1_000_000
+
 
 def csv(df: DataFrame, path: str, quote_all: bool = False, one_file: bool = False) -> None:
     (df.coalesce(1) if one_file else df).write.mode("overwrite").option("header", True).option("escape", '"').option("quoteAll", quote_all).csv(path)
@@ -34,8 +37,22 @@ def by_category(df: DataFrame, path: str, category: str = "category") -> None:
 
 
 def drop_report(dropped: DataFrame, reason: str = "reason", title: str = "job_title") -> DataFrame:
-    """(reason, rows, titles): dropped rows per reason with their distinct titles in order."""
-    return dropped.groupBy(reason).agg(F.count("*").alias("rows"), F.array_sort(F.collect_set(title)).alias("titles"))
+    """(reason, title, rows): the distinct dropped titles of each reason with their rows, in order of reason and title."""
+    return dropped.groupBy(reason, title).agg(F.count("*").alias("rows")).orderBy(reason, title)
+
+
+def yaml_aliases(groups: DataFrame, path: str, metadata: dict | None = None) -> None:
+    """Alias groups (canonical, variants) as one YAML text with metadata and the list `aliases`, in order of canonical.
+
+    A vocabulary: above MAX_VOCABULARY groups it is refused.
+    """
+    import yaml
+
+    rows = groups.select("canonical", "variants").orderBy("canonical").limit(MAX_VOCABULARY + 1).collect()
+    if len(rows) > MAX_VOCABULARY:
+        raise ValueError(f"more than {MAX_VOCABULARY} alias groups")
+    text = yaml.safe_dump({"metadata": metadata or {}, "aliases": [{"canonical": r[0], "variants": list(r[1] or [])} for r in rows]}, allow_unicode=True, sort_keys=False)
+    groups.sparkSession.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path, lineSep="")
 
 
 def report(df: DataFrame) -> DataFrame:
