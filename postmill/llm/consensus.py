@@ -14,6 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from postmill.functions.labels import required_vote as required_vote
 from postmill.session import checkpointed
 
 #: Annotators whose reliabilities are kept in a list; those of more stay a table.
@@ -180,14 +181,3 @@ def krippendorff_alpha(votes: DataFrame, item: list[str], label: str) -> DataFra
     expected = F.try_divide(n * n - F.col("squares"), n * (n - 1))
     both = totals.withColumn("squares", marginals.scalar())
     return both.select("n_items", F.coalesce("n_ratings", F.lit(0)).alias("n_ratings"), observed.alias("observed"), expected.alias("expected"), F.when(expected > 0, 1 - F.try_divide(observed, expected)).when(n > 0, 1.0).alias("alpha"))
-
-
-#: Spellings of the two labels, folded to lower case with single blanks. Fixed vocabulary.
-REQUIRED = ("required_skill", "required skill", "required", "must have", "must-have", "mandatory", "bắt buộc", "bat buoc", "yêu cầu", "必須", "필수")
-PREFERRED = ("preferred_skill", "preferred skill", "preferred", "nice to have", "nice-to-have", "optional", "plus", "ưu tiên", "uu tien", "歓迎", "우대")
-
-
-def required_vote(label: Column) -> Column:
-    """1 for a spelling of required_skill, 0 for one of preferred_skill, null for anything else (abstained)."""
-    x = F.lower(F.trim(F.regexp_replace(label, r"[\s ]+", " ")))
-    return F.when(x.isin(*REQUIRED), 1).when(x.isin(*PREFERRED), 0)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from postmill.llm.consensus import PREFERRED, REQUIRED
+from postmill.functions.labels import PREFERRED, REQUIRED
 
 _LISTED = {k: ", ".join(f"'{x}'" for x in v) for k, v in (("yes", REQUIRED), ("no", PREFERRED))}
 _VOTES = f"""(select record_id, mention_no, annotator, round(avg(v)) as vote from
