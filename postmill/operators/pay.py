@@ -116,10 +116,11 @@ AT_LEAST = r"^\s*từ|^\s*tu\b|^\s*from|\bmin|trên|^\s*tren\b|tối thiểu|>=|
 PAY_SENTENCE = r"lương|(?<!chat )(?<!so )(?<!dung )\bluong\b(?! du lieu)|salary|\bpay\b|\bpaid\b|thu nhập|thu nhap|income|wage|package|compensation|remuneration|給与|月給|年収|급여|연봉|gehalt|salaire"
 
 
-def pay_sentence(description: Column) -> Column:
-    """The first sentence of a description that speaks of pay and names a unit, lower-cased; null if none does."""
+def described_unit(description: Column) -> Column:
+    """The unit that the first sentence of a description names which speaks of pay and names one; null if none does."""
     sentences = F.filter(F.split(F.lower(description), r"[.!?。\r\n]+"), lambda s: s.rlike(PAY_SENTENCE))
-    return F.try_element_at(F.filter(sentences, lambda s: unit_of(s).isNotNull()), F.lit(1))
+    # the units of the sentences are elements of an array, so that no sentence is cut out again for each of the words looked for
+    return F.try_element_at(F.filter(F.transform(sentences, unit_of), lambda u: u.isNotNull()), F.lit(1))
 
 
 def parse_pay(df: DataFrame, salary: str = "salary", description: str = "job_description") -> DataFrame:
@@ -147,7 +148,7 @@ def parse_pay(df: DataFrame, salary: str = "salary", description: str = "job_des
         *(df[c] for c in df.columns if c not in ("__pay", *names)),
         F.when(single & up, F.lit(None)).otherwise(F.when(F.size("__amounts") >= 1, one)).alias("pay_low"),
         F.when(single & least & ~up, F.lit(None)).when(single, one).otherwise(two).alias("pay_high"),
-        F.when(pay.isNotNull(), F.coalesce(own, unit_of(pay_sentence(F.col(description))))).alias("pay_unit"),
+        F.when(pay.isNotNull(), F.coalesce(own, described_unit(F.col(description)))).alias("pay_unit"),
     )
 
 
