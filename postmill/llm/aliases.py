@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from postmill.llm.entries import MAX_REFERENCE_KEYS, Affixes, Matcher, compact, entry_udf, fold, skill_forms, title_forms
+from postmill.llm.entries import MAX_REFERENCE_KEYS, Affixes, Matcher, compact, entry_udf, fold, matcher_of, skill_forms, title_forms
 from postmill.llm.names import city_bits, company_key
 from postmill.session import checkpointed
 
@@ -98,7 +98,14 @@ def co_marked_votes(annotations: DataFrame, keys: Keys) -> DataFrame:
 def skill_vocabulary(annotations: DataFrame, keys: Keys) -> tuple[Keys, Affixes]:
     """The list's keys with the learnt ones, and the generic words around names."""
     learnt = elected(co_marked_votes(annotations, keys))
-    return keys + learnt, generic_affixes(keys, learnt)
+    affixes = generic_affixes(keys, learnt)
+    return keys + further(keys, learnt, forms_of(affixes)), affixes
+
+
+def further(keys: Keys, learnt: Keys, forms: Callable[[str], list[str]]) -> Keys:
+    """The learnt names that don't come out at their entry without being learnt: misspelt listed names need no place in the list."""
+    plain = Matcher(keys, forms)
+    return [(e, name) for e, name in learnt if plain.best(name)[0] != e]
 
 
 FACTS = "posting_id long, board int, company string, city long, low_kvnd long, high_kvnd long, job_title string, title int"
@@ -108,7 +115,7 @@ def posting_facts(postings: DataFrame, keys: Keys) -> DataFrame:
     """What title_votes reads of postings (posting_id, board, company, location, job_title, low_kvnd, high_kvnd)."""
 
     def run(batches):
-        matcher = Matcher(keys, title_forms)
+        matcher = matcher_of(keys, title_forms)
         for pdf in batches:
             yield pd.DataFrame(
                 {
@@ -146,7 +153,7 @@ def title_votes(facts: DataFrame) -> DataFrame:
 
 def title_vocabulary(facts: DataFrame, keys: Keys) -> Keys:
     """The list's keys with the learnt ones."""
-    return keys + elected(title_votes(facts))
+    return keys + further(keys, elected(title_votes(facts)), title_forms)
 
 
 def forms_of(affixes: Affixes) -> Callable[[str], list[str]]:

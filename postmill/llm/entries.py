@@ -8,11 +8,13 @@ cache of those already seen, so there is no shuffle and a value that fills a thi
 
 from __future__ import annotations
 
+import hashlib
 import re
 import unicodedata
 from collections import OrderedDict
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -25,8 +27,8 @@ from postmill.functions.text import DESCRIPTORS
 MAX_REFERENCE_KEYS = 2_000_000
 #: Lists up to this size get the table of letter pairs that spares hopeless searches.
 MAX_PAIR_KEYS = 5_000
-#: Values a task remembers.
-CACHE_SIZE = 200_000
+#: Values a matcher remembers, and matchers a worker process keeps.
+CACHE_SIZE, MAX_MATCHERS = 200_000, 8
 
 
 _BLANKS = re.compile(r"[\s_]+")
@@ -245,6 +247,9 @@ class Affixes:
     before: frozenset[str] = frozenset()
     after: frozenset[str] = frozenset()
 
+    def __repr__(self) -> str:  # in an order of its own: the sets' differs from process to process
+        return f"Affixes({sorted(self.before)}, {sorted(self.after)})"
+
 
 #: Vietnamese words put before a skill, folded; further ones are learnt (llm.aliases).
 DESCRIBED = Affixes(frozenset(fold(d) for d in DESCRIPTORS))
@@ -283,12 +288,27 @@ def skill_forms(value: str, affixes: Affixes = Affixes()) -> list[str]:
     return out
 
 
+#: Matchers of this worker process, by list and forms: the tasks that follow one another share the values already searched.
+_matchers: dict[str, Matcher] = {}
+
+
+def matcher_of(keys: list[tuple[int, str]], forms: Callable[[str], list[str]]) -> Matcher:
+    """The process's matcher of a list; at most MAX_MATCHERS are kept."""
+    named = (forms.func.__qualname__, sorted(map(repr, forms.keywords.items()))) if isinstance(forms, partial) else forms.__qualname__
+    digest = hashlib.sha256(repr((named, keys)).encode()).hexdigest()
+    if digest not in _matchers:
+        if len(_matchers) >= MAX_MATCHERS:
+            _matchers.clear()
+        _matchers[digest] = Matcher(keys, forms)
+    return _matchers[digest]
+
+
 def entry_udf(keys: list[tuple[int, str]], forms: Callable[[str], list[str]], exact: bool = False) -> Callable[[Column], Column]:
     """A column function value -> entry id (0 = fits none, also for null and blank); with `exact` only names as they are listed fit."""
 
     @F.pandas_udf("int")
     def match(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        matcher = Matcher(keys, forms)
+        matcher = matcher_of(keys, forms)
         find = matcher.listed if exact else lambda v: matcher.best(v)[0]
         for values in batches:
             codes, uniques = pd.factorize(values)
