@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -185,3 +186,51 @@ def column(function: Callable[[str | None], object], returns: T.DataType | str):
         return pd.Series([function(p) for p in pages], dtype=object)
 
     return values
+
+
+def pairs_of(root: Node, row: str, name: str, value: str) -> dict[str, str]:
+    """The map of a sidebar: of each element `row` the text of its first `name` to that of its first `value`; the first row of a name counts."""
+    out: dict[str, str] = {}
+    for n in root.find_all(row):
+        k, v = (first_text(n, [s]) for s in (name, value))
+        if k and v:
+            out.setdefault(k.rstrip(":").strip(), v)
+    return out
+
+
+def without(root: Node, tags: tuple[str, ...]) -> Node:
+    """The tree without elements of these tags; `root` is changed."""
+    root.children = [c for c in root.children if not (isinstance(c, Node) and c.tag in tags)]
+    for c in root.children:
+        if isinstance(c, Node):
+            without(c, tags)
+    return root
+
+
+BRAND_ROW = T.StructType(
+    [T.StructField(c, T.StringType()) for c in ("url", "job_title", "company", "location", "salary", "experience", "education", "level", "employment_type", "industry", "specialization", "job_description", "requirement")]
+    + [T.StructField(c, T.ArrayType(T.StringType())) for c in ("required_skills", "preferred_skills")]
+)
+
+
+def brand_row(html: str | None) -> dict:
+    """The fields of a company's own page of a job; its url is left to the caller, skill lists are empty, missing texts null, a missing salary "Not Found".
+
+    Icons and spans inside the title are no part of it. Overview fields stand beside their labels.
+    """
+    root = parse(html)
+    title = next((without(n, ("span", "i", "svg")).text() for s in ("h1", "h2.title", "h2") for n in root.find_all(s)), "") or None
+    beside = lambda *labels: labelled(root, list(labels))
+    return {
+        "url": None, "job_title": title, "company": first_text(root, ["div.company-name", "a.company", "h2.company"]), "location": section(root, ["địa điểm", "location"]) or beside("địa điểm", "location"),
+        "salary": beside("mức lương", "thu nhập", "salary") or "Not Found", "experience": beside("kinh nghiệm", "experience"), "education": beside("học vấn", "education"), "level": beside("cấp bậc", "level"),
+        "employment_type": beside("hình thức làm việc", "hình thức", "employment"), "industry": beside("ngành nghề", "lĩnh vực", "industry"), "specialization": beside("chuyên môn", "specialization"),
+        "job_description": section(root, ["mô tả", "description"]), "requirement": section(root, ["yêu cầu", "requirement"]), "required_skills": [], "preferred_skills": [],
+    }
+
+
+def crawl_links(pages: DataFrame, done: DataFrame) -> DataFrame:
+    """(tag, link): distinct links of the pages (tag, html) whose tag isn't in `done` (tag), in order of tag and link."""
+    todo = pages.join(done.select("tag").distinct(), "tag", "left_anti")
+    found = todo.select("tag", F.explode(column(lambda p: links(parse(p)), "array<string>")(F.col("html"))).alias("link"))
+    return found.distinct().orderBy("tag", "link")

@@ -225,3 +225,57 @@ def status(value: Column, threshold: float, ci_low: Column | None = None, least_
     if ci_low is not None:
         ok = ok & (ci_low.isNull() | (ci_low >= least_low))
     return F.when(value.isNull(), "N/A").when(ok, "PASS").otherwise("FAIL")
+
+
+#: Least values of the report: F1, kappa of labels and of categories by pair of annotators, Fleiss' kappa. Fixed values.
+F1_LEAST = {"llm_vs_human_a": 0.82, "llm_vs_human_b": 0.82, "human_a_vs_human_b": 0.85}
+LABEL_LEAST = {"llm_vs_human_a": 0.70, "llm_vs_human_b": 0.70, "human_a_vs_human_b": 0.75}
+CATEGORY_LEAST = {"llm_vs_human_a": 0.60, "human_a_vs_human_b": 0.65}
+FLEISS_LEAST = 0.70
+
+
+def run_report(mentions: DataFrame, records: DataFrame, rounds: int = 1000, seed: int = 42) -> DataFrame:
+    """(task, pair, value, low, high, n, status): the whole report of the agreement, the last row the overall status.
+
+    `mentions` as match_records takes them; `records` (record_id) are all records, also those in which nobody names a skill. Pairs of the annotators human_a, human_b and llm
+    that occur are compared: t1 macro F1 (n records), t2 kappa of labels and Fleiss' kappa over all three, t3 kappa of categories (n rated pairs or triples). A measure of
+    fewer than two ratings is left out. Overall is PASS if any measure has a status other than N/A and all those are PASS; its n counts the error cases.
+    """
+    names = {r[0] for r in mentions.filter(F.col("annotator").isin("human_a", "human_b", "llm")).select("annotator").distinct().collect()}
+    pairs = [(a, b) for a, b in (("llm", "human_a"), ("llm", "human_b"), ("human_a", "human_b")) if {a, b} <= names]
+    ids = records.select("record_id").distinct()
+    parts: list[DataFrame] = []
+    errors: list[DataFrame] = []
+
+    def row(task: str, pair: str, interval: DataFrame, n: DataFrame, least: float, kappa: bool) -> DataFrame:
+        out = interval.withColumn("n", n.scalar())
+        state = status(F.col("value"), least, F.col("low") if kappa else None)
+        return out.select(F.lit(task).alias("task"), F.lit(pair).alias("pair"), *(F.round(c, 4).alias(c) for c in ("value", "low", "high")), F.col("n").cast("long").alias("n"), state.alias("status"))
+
+    for a, b in pairs:
+        pair = f"{a}_vs_{b}"
+        matches = checkpointed(match_records(mentions, a, b))
+        every = matches.unionByName(ids, allowMissingColumns=True)
+        parts.append(row("t1", pair, bootstrap_f1(every, rounds, seed), every.agg(F.countDistinct("record_id")), F1_LEAST[pair], False))
+        for task, column, least in (("t2", "label", LABEL_LEAST), ("t3", "category", CATEGORY_LEAST)):
+            if pair in least:
+                rated = cohen_kappa(matches, f"{column}_a", f"{column}_b").select("n")
+                parts.append(row(task, pair, bootstrap_kappa(matches, f"{column}_a", f"{column}_b", task, rounds, seed), rated, least[pair], True).filter("n >= 2"))
+        errors.append(error_cases(matches, a, b).agg(F.count("*").alias("n")))
+    if len(names) == 3:
+        triples = checkpointed(three_way_match(mentions, "human_a", "human_b", "llm").select("record_id", "triple", F.explode(F.array("label_a", "label_b", "label_c")).alias("label")))
+        items = fleiss_kappa(triples, ["record_id", "triple"], "label").select("items")
+        parts.append(row("t2", "fleiss_kappa_all", bootstrap_fleiss(triples, ["record_id", "triple"], "label", 3, rounds, seed), items, FLEISS_LEAST, True).filter("n >= 2"))
+    spark = mentions.sparkSession
+    schema = "task string, pair string, value double, low double, high double, n long, status string"
+    measures = spark.createDataFrame([], schema)
+    for p in parts:
+        measures = measures.unionByName(p)
+    measures = checkpointed(measures)
+    cases = spark.createDataFrame([(0,)], "n long")
+    for e in errors:
+        cases = cases.unionByName(e)
+    valid = F.col("status") != "N/A"
+    overall = measures.agg(F.when((F.count_if(valid) > 0) & (F.count_if(valid & (F.col("status") != "PASS")) == 0), "PASS").otherwise("FAIL").alias("status"))
+    last = overall.select(F.lit("overall").alias("task"), F.lit("all").alias("pair"), *(F.lit(None).cast("double").alias(c) for c in ("value", "low", "high")), cases.agg(F.sum("n")).scalar().alias("n"), "status")
+    return measures.unionByName(last)

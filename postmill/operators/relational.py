@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from functools import reduce
 
@@ -26,7 +27,9 @@ def require_columns(df: DataFrame, *names: str) -> DataFrame:
 
 
 def keep_available(df: DataFrame, names: list[str]) -> DataFrame:
-    """The columns of `names` that exist, in that order."""
+    """The columns of `names` that exist, in that order, with a warning that names the others."""
+    if lacking := [n for n in names if n not in df.columns]:
+        warnings.warn(f"missing columns: {', '.join(lacking)}", stacklevel=2)
     return df.select(*(n for n in names if n in df.columns))
 
 
@@ -176,3 +179,54 @@ def calibration_sample(df: DataFrame, title: str, key: str, size: int = 50, majo
     one = df.filter(F.col(title).isNotNull()).groupBy(title).agg(F.count("*").alias("__n"), F.min(F.struct(h.alias("h"), F.col(key).alias("key"))).alias("x"))
     picked = one.orderBy((F.col("__n") < major).cast("int"), F.xxhash64(F.lit(seed), F.col(title)), title).limit(size)
     return picked.select(title, F.col("x.key").alias(key), F.col("__n").alias("title_rows"))
+
+
+def drop_columns(df: DataFrame, *names: str) -> DataFrame:
+    """`df` without the columns of `names`; those it lacks are ignored."""
+    return df.drop(*names)
+
+
+def rename_columns(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    """`df` with columns renamed by `names`; those it lacks are ignored. A new name that another column keeps is an error."""
+    new = [names.get(c, c) for c in df.columns]
+    if len(set(new)) < len(new):
+        raise ValueError(f"names would stand twice: {', '.join(sorted({c for c in new if new.count(c) > 1}))}")
+    return df.toDF(*new)
+
+
+def first_value(df: DataFrame, by: str, value: str, order: list[Column]) -> DataFrame:
+    """(by, value): the first non-null value of each group in `order`, null where a group has none."""
+    return df.groupBy(by).agg(F.min_by(value, F.when(F.col(value).isNotNull(), F.struct(*order))).alias(value))
+
+
+def counts_with_first(df: DataFrame, by: str, value: str, order: list[Column]) -> DataFrame:
+    """(by, n, value): rows per group with its first non-null value, in one aggregate."""
+    return df.groupBy(by).agg(F.count("*").alias("n"), F.min_by(value, F.when(F.col(value).isNotNull(), F.struct(*order))).alias(value))
+
+
+def first_appearance_ids(df: DataFrame, value: str, order: str, name: str = "id", start: int = 0) -> DataFrame:
+    """(value, id): distinct non-null values numbered from `start` by where they first appear in `order`."""
+    first = df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.min(order).alias("__first"))
+    return number_rows(first, ["__first", value], name, start).drop("__first")
+
+
+def overlap(a: Column, b: Column) -> Column:
+    """struct(both, either): the sorted intersection and union of two arrays, a null array as an empty one."""
+    x, y = (F.coalesce(c, F.array().cast("array<string>")) for c in (a, b))
+    return F.struct(F.array_sort(F.array_intersect(x, y)).alias("both"), F.array_sort(F.array_union(x, y)).alias("either"))
+
+
+def flat_pieces(joined: Column, mark: str = "|") -> Column:
+    """The distinct non-empty pieces of an array of joined texts, in order."""
+    pieces = F.flatten(F.transform(joined, lambda t: F.split(F.coalesce(t, F.lit("")), "[" + mark + "]", -1)))
+    return F.array_distinct(F.filter(pieces, lambda p: p != ""))
+
+
+def joined_keys(counts: Column) -> Column:
+    """The keys of a map in order, joined by ", "."""
+    return F.array_join(F.array_sort(F.map_keys(counts)), ", ")
+
+
+def job_url(url: Column) -> Column:
+    """Whether a URL ends in a hyphen and a job number of three to five digits."""
+    return F.coalesce(url.rlike(r"-\d{3,5}$"), F.lit(False))

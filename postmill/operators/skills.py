@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from postmill.functions.json_skills import yaml_aliases
 from postmill.functions.text import blank, category_key, is_ascii, skill_key
-from postmill.session import round_checkpointed
+from postmill.operators.relational import batches
+from postmill.session import checkpointed, round_checkpointed
 
 
 class AliasCycle(ValueError):
@@ -42,10 +47,10 @@ def close_aliases(edges: DataFrame) -> DataFrame:
         now = joined.select("variant", "canonical")
         if moving.isEmpty():
             return now
-        reach *= 2
-        if reach > n:
+        if reach >= n:  # a name that leads on after so many links has passed some link twice
             found = [r[0] for r in moving.orderBy("variant").select("variant").limit(3).collect()]
             raise AliasCycle(f"aliases lead back to themselves: {', '.join(found)}")
+        reach *= 2
 
 
 def apply_aliases(mentions: DataFrame, closed: DataFrame, skill: str = "skill") -> DataFrame:
@@ -199,3 +204,32 @@ def merge_alias_groups(groups: DataFrame, counts: DataFrame) -> DataFrame:
     kept = weighed.filter(~F.coalesce("is_head", F.lit(False)) | (F.col("cn") > F.col("vn")) | ((F.col("cn") == F.col("vn")) & (F.col("canonical") < F.col("variant"))))
     owner = kept.groupBy("variant").agg(F.max_by("canonical", F.struct("cn", "canonical")).alias("canonical"))
     return owner.groupBy("canonical").agg(F.array_sort(F.collect_list("variant")).alias("variants"))
+
+
+def bootstrap_aliases(counts: DataFrame, answer: Callable[[list[str]], str | None], min_count: int = 1, size: int = 200) -> DataFrame:
+    """(canonical, variants): alias groups that a language model proposes for frequent names, checked and united.
+
+    `counts`: name, n. Names with at least `min_count` mentions, the most frequent first, go to `answer` in batches of `size` (one call per batch, on the
+    executors); its YAML is read by json_skills.yaml_aliases, checked by validate_alias_groups and united by merge_alias_groups.
+    """
+    kept = counts.filter((F.col("n") >= min_count) & ~blank(F.col("name"))).withColumn("minus", -F.col("n"))
+    asked = batches(kept, ["minus", "name"], size).groupBy("batch_id").agg(F.array_sort(F.collect_list(F.struct("minus", "name"))).alias("names"))
+
+    def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            rows = [
+                (int(batch) * 1_000_000 + i, str(g["canonical"]), [str(v) for v in g.get("variants") or []])
+                for batch, names in zip(pdf["batch_id"], pdf["names"]) for i, g in enumerate(yaml_aliases(answer([n["name"] for n in names]))) if g.get("canonical")
+            ]
+            yield pd.DataFrame(rows, columns=["ord", "canonical", "variants"])
+
+    groups = checkpointed(asked.mapInPandas(ask, "ord long, canonical string, variants array<string>"))
+    known = counts.select(F.lower(F.trim("name")).alias("name"), "n").groupBy("name").agg(F.sum("n").alias("n"))
+    return merge_alias_groups(validate_alias_groups(groups, known), known)
+
+
+def cascade_block(mentions: DataFrame, roles: DataFrame, name: str = "final") -> tuple[DataFrame, DataFrame]:
+    """(kept, dropped) mentions whose final name isn't, or is, one of `roles`: blocked clusters take their mentions with them."""
+    kept = block_roles(mentions, roles, name)
+    blocked = roles.filter(~blank(F.col("role")) & ~F.col("role").startswith("#")).select(skill_key(F.col("role")).alias("__role")).distinct()
+    return kept, mentions.join(blocked, skill_key(mentions[name]) == F.col("__role"), "left_semi")

@@ -5,7 +5,7 @@ Vocabularies and patterns are those of the library; the statements themselves ar
 
 from __future__ import annotations
 
-from postmill.functions import fields, labels, text, titles
+from postmill.functions import fields, labels, salary, text, titles
 from postmill.plans.reference_queries import BASE_URL, DISTANCE
 
 
@@ -159,6 +159,24 @@ LOG = """(select record_id, annotator, (list(skills order by submitted_at desc))
 
 LAST = "list({0} order by crawled_at desc, coalesce(salary, '') desc, coalesce(experience, '') desc)[1]"
 
+NEGOTIABLE = ", ".join(map(q, salary.NEGOTIABLE_TEXTS))
+_MILLION = "case when {0} <= 0 then 0.0 when usd then {0} * 25000 / 1e6 when {0} >= 1e6 then {0} / 1e6 else {0} end"
+PAY = f"""(select source, posting_id, salary, contains(lower(salary), 'thỏa thuận') as th, coalesce({_MILLION.format('a')}, 0.0) as lo, coalesce({_MILLION.format('b')}, 0.0) as hi from
+ (select *, case when up then 0.0 else n[1] end as a, case when up then n[1] when fr then 0.0 when contains(t, '-') and len(n) >= 2 then n[2] else n[1] end as b from
+ (select *, list_transform(regexp_extract_all(t, '\\d+(?:\\.\\d+)?'), lambda x: x::double) as n, regexp_matches(t, 'up to|upto|tới') as up, regexp_matches(t, 'từ|from') as fr, contains(t, 'usd') or contains(t, '$') as usd from
+ (select *, regexp_replace(regexp_replace(case when salary = {q(fields.NEGOTIABLE)} then '' else replace(replace({strip('lower(salary)')}, '–', '-'), ',', '') end, '(\\d)\\.(\\d{{3}})([^0-9]|$)', '\\1\\2\\3', 'g'), '(\\d)\\.(\\d{{3}})([^0-9]|$)', '\\1\\2\\3', 'g') as t from
+ (select source, posting_id, case when salary is null or {' or '.join(f"contains(lower(salary), {q(x)})" for x in fields.SALARY_NOISE)} then {q(fields.NEGOTIABLE)} else salary end as salary from {boards('posting_id, salary')})))))"""
+DECLARED = "list_concat(" + ", ".join(f"regexp_extract_all(t, {q(p)}, 1)" for p in fields.ROLE_DECLARATIONS) + ")"
+VALID = """(with known as (select lower(trim(skill_name)) as name, count(*) as n from skills_flat where skill_name is not null group by 1 having lower(trim(skill_name)) != ''),
+ g as (select skill_id as ord, lower(trim(case when skill_id % 3 = 0 then canonical || ' (unknown)' else canonical end)) as c, list_transform(list_concat(variants, [canonical, 'no such skill']), lambda x: lower(trim(x))) as v from skill_reference),
+ e as (select distinct ord, c, unnest(v) as v from g), k as (select e.*, n from e join known on name = v), h as (select ord, case when c in (select name from known) then c else (list(v order by n desc, v desc))[1] end as canonical from k group by ord, c)
+ select ord, canonical, list(v) as variants from k join h using (ord) where v != canonical group by ord, canonical)"""
+
+
+def tidy(c: str) -> str:
+    return f"trim(regexp_replace({c}, '[\\s{chr(160)}]+', ' ', 'g'))"
+
+
 ORACLES: dict[str, str] = {
     "text_skill_key": f"select distinct skill_name, {skill_key('skill_name')} as skill from skills_flat where skill_name is not null",
     "text_skill_match_key": f"select distinct skill_name, {skill_match_key('skill_name')} as skill from skills_flat where skill_name is not null",
@@ -190,9 +208,9 @@ ORACLES: dict[str, str] = {
     "dedup_last": "select posting_id, url, experience, crawled_at from (select *, row_number() over (partition by posting_id order by crawled_at desc nulls last, url desc nulls last, coalesce(experience, '') desc) as r from raw_jobs_topcv) where r = 1",
     "surrogate_keys": "select posting_id, max(url) as url, row_number() over (order by max(url) nulls first, posting_id) as job_id from raw_jobs_itviec group by posting_id",
     "star_schema": f"select job_id, count(*) as mentions, count(distinct skill) as skills from {CLEAN} c left join (select posting_id, row_number() over (order by max(url) nulls first, posting_id) as job_id from raw_jobs_itviec group by posting_id) k on c.row_id = k.posting_id::varchar group by job_id",
-    "recrawl_needed": "select distinct posting_id from raw_jobs_topcv where contains(url, '/brand/') and " + " + ".join(f"({blank(c)} or {strip(c)} = '[]')::int" for c in ("job_title", "company", "salary", "required_skills")) + " >= 2",
+    "recrawl_needed": "select distinct posting_id from raw_jobs_topcv where contains(url, '/brand/') and " + " + ".join(f"({blank(c)} or {strip(c)} = '[]')::int" for c in ("company", "required_skills", "preferred_skills", "specialization")) + " >= 2",
     "patch_recrawled": f"select posting_id, {LAST.format('salary')} as salary, {LAST.format('experience')} as experience, min(crawled_at) as crawled_at from raw_jobs_topcv group by posting_id",
-    "unprocessed_anti": "select distinct posting_id from raw_jobs_itviec where posting_id not in (select row_id::bigint from skills_flat)",
+    "unprocessed_anti": "select distinct posting_id from raw_jobs_itviec where posting_id not in (select record_id::bigint from annotations_unified where annotator = 'llm' and len(skills) > 0)",
     "merge_llm_titles": f"""select posting_id, case when status = 'ok' then coalesce(st, '') else '' end as standardized_title, status from (select j.posting_id, a.st, case when {blank('j.job_title')} then 'no_title' when a.posting_id is null or j.posting_id % 11 = 0 then 'no_answer' when j.posting_id % 7 = 0 then 'invalid' else 'ok' end as status
  from (select posting_id, max(job_title) as job_title from raw_jobs_itviec group by posting_id) j left join (select row_id::bigint as posting_id, max(standardized_title) as st from skills_flat group by row_id) a using (posting_id))""",
     "missing_profile": 'select "column", missing, round(missing * 100.0 / n, 2) as pct from (' + " union all ".join(
@@ -203,7 +221,7 @@ ORACLES: dict[str, str] = {
     "category_stats": f"select category, count(*) as mentions, count(distinct skill) as skills from {CLEAN} group by category",
     "title_stats": "select standardized_title, count(distinct row_id) as records, max(length(source_text))::int as longest from skills_flat where standardized_title is not null group by 1 having count(distinct row_id) >= 10",
     "name_collisions": "select lower(trim(skill_name)) as folded, count(distinct skill_name) as n, array_to_string(list_sort(list(distinct skill_name)), '|') as spellings from skills_flat where skill_name is not null group by 1 having count(distinct skill_name) > 1",
-    "referential_check": "with a as (select distinct row_id::bigint as id from skills_flat), b as (select posting_id as id from raw_jobs_itviec union select posting_id from raw_jobs_topcv) select 'left' as side, count(*) as n from (from a except from b) having count(*) > 0 union all select 'right', count(*) from (from b except from a) having count(*) > 0",
+    "referential_check": "with a as (select distinct record_id::bigint as id from annotations_unified), b as (select posting_id as id from raw_jobs_itviec union select posting_id from raw_jobs_topcv) select 'left' as side, count(*) as n from (from a except from b) having count(*) > 0 union all select 'right', count(*) from (from b except from a) having count(*) > 0",
     "split_halves": "select case when r <= n // 2 then 1 else 2 end as half, count(*) as n, min(posting_id) as first, max(posting_id) as last from (select posting_id, row_number() over (order by posting_id) as r, count(*) over () as n from (select distinct posting_id from raw_jobs_itviec)) group by 1",
     "batching": "select (r - 1) // 200 as batch_id, count(*) as n, min(posting_id) as first from (select posting_id, row_number() over (order by posting_id) as r from (select distinct posting_id from raw_jobs_topcv)) group by 1",
     "skill_drop_reasons": f"select case when {blank('skill_name')} then 'blank_skill' when category is null then 'null_category' end as reason, count(*) as n from skills_flat group by 1",
@@ -245,4 +263,35 @@ ORACLES: dict[str, str] = {
     "html_rows": f"""select posting_id, 'job' as kind, {', '.join(f"nullif({strip(f"regexp_replace({c}, '[\\s{chr(160)}]+', ' ', 'g')")}, '') as {c}" for c in ('job_title', 'company'))}, coalesce(nullif({strip(f"regexp_replace(salary, '[\\s{chr(160)}]+', ' ', 'g')")}, ''), 'Not Found') as salary
  from (select posting_id, max(job_title) as job_title, max(company) as company, max(salary) as salary from raw_jobs_topcv group by posting_id)""",
     "stream_resume": "select event_type as requirement, count(*) as n, min(event_id) as first from events where event_type != 'error' group by 1",
+    "salary_bounds": f"""select source, posting_id, salary, round(lo, 2) as min_salary, round(hi, 2) as max_salary, round(case when lo > 0 and hi > 0 then (lo + hi) / 2 else greatest(lo, hi) end, 2) as avg_salary, false as is_null_salary, th as is_thoa_thuan,
+ th or trim(lower(salary)) in ('', 'nan', 'none') or round(case when lo > 0 and hi > 0 then (lo + hi) / 2 else greatest(lo, hi) end, 2) = 0 as is_missing_salary from {PAY}""",
+    "salary_completeness": f"select source, count(*) as rows, round(avg((round(greatest(lo, hi), 2) > 0)::int), 4) as share from {PAY} group by source",
+    "salary_masks": f"""select source, salary is null as is_null_salary, coalesce(x in ({NEGOTIABLE}), false) as is_thoa_thuan, salary is null or x in ({NEGOTIABLE}) as is_missing_salary, salary is not null and x not in ({NEGOTIABLE}, '') as valid, count(*) as n
+ from (select *, {strip('lower(salary)')} as x from {boards('posting_id, salary')}) group by all""",
+    "mapping_invariants": "select unnest(['conservation', 'missing', 'extra', 'null_final', 'repeated']) as check, 0::bigint as violations",
+    "run_report": f"""with m as materialized (select * from {MEMBERS}), s as materialized (select * from {SUMMARY}) select (select sum(total)::bigint from m) as mentions, (select count(distinct name) from m) as names, (select count(*) from m) as keys,
+ count(*) as clusters, count(*) filter (cross_category) as cross_category, count(*) filter (tie) as ties, count(*) filter (final like '% Other') as other_bucket, count(distinct final) as finals from s""",
+    "canonical_collisions": f"select lower(c) as canonical, sum(1 + (category < 'C')::int)::bigint as clusters from (select category, (list(skill order by total desc, skill desc))[1] as c from {AGG} group by category) group by 1 having sum(1 + (category < 'C')::int) > 1",
+    "unique_keys": "select count(*) as n, min(doc_id) as first, max(doc_id) as last from documents",
+    "first_source_text": "select standardized_title, count(*) as n, (list(source_text order by mention_id, extracted_at, source_text) filter (source_text is not null))[1] as source_text from skills_flat where standardized_title is not null group by 1",
+    "first_category": "select skill_name, (list(category order by mention_id, extracted_at, category) filter (category is not null))[1] as category from skills_flat where skill_name is not null group by 1",
+    "first_appearance": f"select skill, row_number() over (order by first, skill) - 1 as id from (select skill, min(mention_id) as first from {CLEAN} where length(skill) <= 7 group by skill)",
+    "variant_overlap": """select title_id, array_to_string(list_sort(list_distinct(list_intersect(a, b))), '|') as both, array_to_string(list_sort(list_distinct(list_concat(a, b))), '|') as either
+ from (select title_id, string_split(lower(canonical_title), ' ') as a, flatten(list_transform(alt_names, lambda x: string_split(lower(x), ' '))) as b from title_reference)""",
+    "joined_categories": f"""select skill, array_to_string(c, ', ') as categories, array_to_string(list_filter(p, lambda x, i: x != '' and list_position(p, x) = i), ';') as pieces from
+ (select *, list_append(string_split(replace(array_to_string(c, ', '), '/', '|'), '|'), 'end') as p from (select skill, list_sort(list(category)) as c from {AGG} group by skill))""",
+    "job_urls": "select distinct posting_id, url, coalesce(regexp_matches(url, '-\\d{3,5}$'), false) as is_job from raw_jobs_itviec",
+    "level_clean": f"""select source, case when source = 'topcv' and regexp_matches(lower(job_title), 'thực tập sinh|intern') or l = 'Thực tập sinh' then 'Intern' else l end as job_level, count(*) as n
+ from (select *, coalesce({level('job_title')}, {level('level')}, {q(fields.DEFAULT_LEVEL)}) as l from {boards('posting_id, job_title, level')}) group by all""",
+    "level_declared": f"""select distinct source, posting_id, job_title, coalesce({level('job_title')}, (list_filter(list_transform({DECLARED}, lambda d: {level('d')}), lambda v: v is not null))[1], {q(fields.DEFAULT_LEVEL)}) as job_level
+ from (select *, lower(concat_ws(' ', case when posting_id % 3 = 0 then 'Report to the manager. Position: Senior person.' || chr(10) || coalesce(job_description, '') else job_description end, requirement)) as t from {boards('posting_id, job_title, job_description, requirement')})""",
+    "json_strict": f"""select level, count(*) as n, sum(n)::bigint as skills from (select case when kind in (4, 5) then 'rejected' when kind = 2 and k = 0 then 'rejected' when not good then 'coerced' when kind in (0, 3) then 'direct' else 'repaired' end as level, case when kind < 4 then k else 0 end as n
+ from (select kind, len(skills) as k, len(list_filter(skills, lambda s: s.skill_name is null or {strip('s.skill_name')} = '' or s.category is null)) = 0 as good from {LOG})) group by level""",
+    "json_titles": "select title_id % 4 as batch_id, title_id::varchar as id, canonical_title as original, upper(canonical_title) as standardized_title, title_id % 5 != 0 as is_valid_job from title_reference",
+    "json_years": "select distinct s.min_years as written, case when isfinite(try_cast(s.min_years as double)) then trunc(try_cast(s.min_years as double))::int end as cut, case when isfinite(try_cast(s.min_years as double)) then round_even(try_cast(s.min_years as double), 0)::int end as rounded from (select unnest(skills) as s from annotations_unified)",
+    "html_brand": f"""select posting_id, {', '.join(f"nullif({tidy(c)}, '') as {c}" for c in ('job_title', 'company', 'experience', 'level'))}, coalesce(nullif({tidy('salary')}, ''), 'Not Found') as salary
+ from (select posting_id, max(job_title) as job_title, max(company) as company, max(salary) as salary, max(experience) as experience, max(level) as level from raw_jobs_topcv group by posting_id)""",
+    "html_sidebar": f"select posting_id, nullif({tidy('max(industry)')}, '') as industry, coalesce(nullif({tidy('max(level)')}, ''), 'again') as level from raw_jobs_topcv group by posting_id",
+    "html_links": "select distinct standardized_title as tag, url as link from skills_flat where standardized_title != 'Tester' and url is not null",
+    "alias_validate": f"select ord, canonical, array_to_string(list_sort(variants), '|') as variants from {VALID}",
 }

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmill.functions import fields, html, json_skills, labels, text, titles
-from postmill.operators import agreement, clusters, relational, skills
+from postmill.functions import fields, html, json_skills, labels, salary, text, titles
+from postmill.operators import agreement, checks, clusters, relational, skills
 from postmill.session import checkpointed, shared_folder, table
 from postmill.sources import sinks
 from postmill.streaming import jobs as streams
@@ -161,8 +161,8 @@ def star_schema(spark: SparkSession, base: str) -> DataFrame:
 
 
 def recrawl_needed(spark: SparkSession, base: str) -> DataFrame:
-    j = table(spark, base, "raw_jobs_topcv").select("posting_id", "url", "job_title", "company", "salary", "required_skills").distinct()
-    return j.filter(F.col("url").contains("/brand/") & fields.recrawl_needed([F.col(c) for c in ("job_title", "company", "salary", "required_skills")])).select("posting_id").distinct()
+    j = table(spark, base, "raw_jobs_topcv").select("posting_id", "url", "company", "required_skills", "preferred_skills", "specialization").distinct()
+    return j.filter(F.col("url").contains("/brand/") & fields.recrawl_needed([F.col(c) for c in ("company", "required_skills", "preferred_skills", "specialization")])).select("posting_id").distinct()
 
 
 def patch_recrawled(spark: SparkSession, base: str) -> DataFrame:
@@ -173,8 +173,9 @@ def patch_recrawled(spark: SparkSession, base: str) -> DataFrame:
 
 
 def unprocessed_anti(spark: SparkSession, base: str) -> DataFrame:
-    """Postings without an extracted skill."""
-    done = table(spark, base, "skills_flat").select(F.col("row_id").cast("long").alias("posting_id"), F.lit(False).alias("failed"))
+    """Postings without a submission of the model that names a skill."""
+    log = table(spark, base, "annotations_unified").filter("annotator = 'llm'")
+    done = log.select(F.col("record_id").cast("long").alias("posting_id"), (F.coalesce(F.size("skills"), F.lit(0)) <= 0).alias("failed"))
     jobs_ = table(spark, base, "raw_jobs_itviec").select("posting_id").distinct()
     return relational.unprocessed(jobs_, done, "posting_id", F.col("failed"))
 
@@ -211,8 +212,8 @@ def name_collisions(spark: SparkSession, base: str) -> DataFrame:
 
 
 def referential_check(spark: SparkSession, base: str) -> DataFrame:
-    """Records of skills_flat without a posting and postings without a record."""
-    a = table(spark, base, "skills_flat").select(F.col("row_id").cast("long").alias("id"))
+    """Annotated records without a posting and postings that nobody annotated."""
+    a = table(spark, base, "annotations_unified").select(F.col("record_id").cast("long").alias("id"))
     b = _boards(spark, base, ["posting_id"]).select(F.col("posting_id").alias("id"))
     return relational.difference(a, b).groupBy("side").agg(F.count("*").alias("n"))
 
@@ -452,6 +453,135 @@ def iaa_bootstrap(spark: SparkSession, base: str) -> DataFrame:
     )
 
 
+def iaa_report(spark: SparkSession, base: str) -> DataFrame:
+    """The whole report: F1, kappas and Fleiss of every pair with intervals and PASS or FAIL, the overall status last."""
+    return agreement.run_report(_listed(spark, base), table(spark, base, "annotations_unified").select("record_id"))
+
+
+# salaries
+
+
+def _salaries(spark: SparkSession, base: str) -> DataFrame:
+    return salary.process_salary(_boards(spark, base, ["posting_id", "salary"]))
+
+
+def salary_bounds(spark: SparkSession, base: str) -> DataFrame:
+    return _salaries(spark, base)
+
+
+def salary_masks(spark: SparkSession, base: str) -> DataFrame:
+    """Postings by the flags of their salary as written and whether it is valid."""
+    s = _boards(spark, base, ["posting_id", "salary"]).select("source", "posting_id", salary.salary_flags(F.col("salary")).alias("f"), salary.valid_salary(F.col("salary")).alias("valid"))
+    return s.groupBy("source", "f.is_null_salary", "f.is_thoa_thuan", "f.is_missing_salary", "valid").agg(F.count("*").alias("n"))
+
+
+def salary_completeness(spark: SparkSession, base: str) -> DataFrame:
+    return salary.completeness(_salaries(spark, base), "source")
+
+
+# checks of the canonicalisation
+
+
+def mapping_invariants(spark: SparkSession, base: str) -> DataFrame:
+    members, summary = _summary(spark, base)
+    return checks.mapping_checks(members, skills.canonical_mapping(members, summary))
+
+
+def run_report(spark: SparkSession, base: str) -> DataFrame:
+    members, summary = _summary(spark, base)
+    return checks.run_report(members, summary, {"min_keep": 5}).drop("config_hash")
+
+
+def canonical_collisions(spark: SparkSession, base: str) -> DataFrame:
+    """Categories' most frequent skills that two or more categories share."""
+    top = skills.aggregate_skills(_mentions(spark, base)).groupBy("category").agg(F.max_by("skill", F.struct("total", "skill")).alias("canonical"))
+    return checks.canonical_collisions(top.unionByName(top.filter("category < 'C'").select(F.concat("category", F.lit("+")).alias("category"), F.upper("canonical").alias("canonical"))))
+
+
+def unique_keys(spark: SparkSession, base: str) -> DataFrame:
+    """The documents, once their keys are known to be unique and whole."""
+    return checks.assert_unique(table(spark, base, "documents"), "doc_id").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+
+
+def _proposed(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame]:
+    """Alias groups as a model might propose them (the reference list with unknown and repeated names) and the known names with counts."""
+    known = table(spark, base, "skills_flat").filter("skill_name is not null").groupBy(F.lower(F.trim("skill_name")).alias("name")).agg(F.count("*").alias("n")).filter("name != ''")
+    ref = table(spark, base, "skill_reference")
+    groups = ref.select(F.col("skill_id").alias("ord"), F.when(F.col("skill_id") % 3 == 0, F.concat("canonical", F.lit(" (unknown)"))).otherwise(F.col("canonical")).alias("canonical"), F.concat("variants", F.array("canonical", F.lit("no such skill"))).alias("variants"))
+    return groups, known
+
+
+def alias_validate(spark: SparkSession, base: str) -> DataFrame:
+    return skills.validate_alias_groups(*_proposed(spark, base)).select("ord", "canonical", F.array_join("variants", "|").alias("variants"))
+
+
+def alias_merge(spark: SparkSession, base: str) -> DataFrame:
+    groups, known = _proposed(spark, base)
+    valid = skills.validate_alias_groups(groups, known)
+    return skills.merge_alias_groups(valid, known).select("canonical", F.array_join("variants", "|").alias("variants"))
+
+
+# small relational operators
+
+
+def first_source_text(spark: SparkSession, base: str) -> DataFrame:
+    """Mentions per standardized title with the source text of its first mention that has one."""
+    s = table(spark, base, "skills_flat").filter("standardized_title is not null")
+    return relational.counts_with_first(s, "standardized_title", "source_text", [F.col("mention_id"), F.col("extracted_at"), F.col("source_text")])
+
+
+def first_category(spark: SparkSession, base: str) -> DataFrame:
+    s = table(spark, base, "skills_flat").select("skill_name", "category", "mention_id", "extracted_at").filter("skill_name is not null")
+    return relational.first_value(s, "skill_name", "category", [F.col("mention_id"), F.col("extracted_at"), F.col("category")])
+
+
+def first_appearance(spark: SparkSession, base: str) -> DataFrame:
+    """Short skill names numbered by where they first appear."""
+    names = _mentions(spark, base).filter(F.length("skill") <= 7).select("skill", "mention_id")
+    return relational.first_appearance_ids(names, "skill", "mention_id")
+
+
+def variant_overlap(spark: SparkSession, base: str) -> DataFrame:
+    """Names that a title's own list and the words of its canonical name share, and all of both."""
+    r = table(spark, base, "title_reference").select("title_id", F.split(F.lower("canonical_title"), " ").alias("a"), F.flatten(F.transform("alt_names", lambda x: F.split(F.lower(x), " "))).alias("b"))
+    o = r.select("title_id", relational.overlap(F.col("a"), F.col("b")).alias("o"))
+    return o.select("title_id", F.array_join("o.both", "|").alias("both"), F.array_join("o.either", "|").alias("either"))
+
+
+def joined_categories(spark: SparkSession, base: str) -> DataFrame:
+    """The categories of each skill, sorted and joined, and the pieces of their names."""
+    agg = skills.aggregate_skills(_mentions(spark, base)).groupBy("skill").agg(F.map_from_entries(F.collect_list(F.struct("category", "total"))).alias("m"))
+    named = agg.select("skill", relational.joined_keys(F.col("m")).alias("categories"))
+    pieces = relational.flat_pieces(F.array(F.replace("categories", F.lit("/"), F.lit("|")), F.lit("|end")))
+    return named.select("skill", "categories", F.array_join(pieces, ";").alias("pieces"))
+
+
+def job_urls(spark: SparkSession, base: str) -> DataFrame:
+    urls = table(spark, base, "raw_jobs_itviec").select("posting_id", "url").distinct()
+    return urls.select("posting_id", "url", relational.job_url(F.col("url")).alias("is_job"))
+
+
+# field drivers
+
+
+def level_clean(spark: SparkSession, base: str) -> DataFrame:
+    both = _boards(spark, base, ["posting_id", "job_title", "level"])
+    return fields.process_level(both.withColumn("job_level", fields.extract_level(F.col("job_title"), F.col("level")))).groupBy("source", "job_level").agg(F.count("*").alias("n"))
+
+
+def level_declared(spark: SparkSession, base: str) -> DataFrame:
+    """The level by the title, else by what a text declares; a declaration is put before every third description."""
+    both = _boards(spark, base, ["posting_id", "job_title", "job_description", "requirement"])
+    said = F.when(F.col("posting_id") % 3 == 0, F.concat(F.lit("Report to the manager. Position: Senior person.\n"), F.coalesce("job_description", F.lit("")))).otherwise(F.col("job_description"))
+    return both.select("source", "posting_id", "job_title", fields.declared_level(F.col("job_title"), said, F.col("requirement")).alias("job_level")).distinct()
+
+
+def fields_clean(spark: SparkSession, base: str) -> DataFrame:
+    """Postings by board and cleaned fields."""
+    both = _boards(spark, base, ["posting_id", "job_title", "job_description", "requirement", "level", "experience", "employment_type", "education"]).withColumnRenamed("level", "job_level")
+    return fields.process_fields(both).groupBy("source", "job_level", "experience", "employment_type", "education").agg(F.count("*").alias("n"))
+
+
 # JSON, HTML, streams
 
 
@@ -477,6 +607,28 @@ def json_errors(spark: SparkSession, base: str) -> DataFrame:
     return p.groupBy("status").agg(F.count("*").alias("n"))
 
 
+def json_strict(spark: SparkSession, base: str) -> DataFrame:
+    """Entries of the log by how far they had to be mended to be valid, with their skills."""
+    v = json_skills.validate_log(_log(spark, base), ["record_id", "annotator"])
+    return v.groupBy("level").agg(F.count("*").alias("n"), F.sum(F.coalesce(F.size("skills"), F.lit(0)).cast("long")).alias("skills"))
+
+
+def json_titles(spark: SparkSession, base: str) -> DataFrame:
+    """Answers made of the title list, each with its id or its title left out, and read again."""
+    asked = table(spark, base, "title_reference").select((F.col("title_id") % 4).alias("batch_id"), F.col("title_id").alias("id"), F.col("canonical_title").alias("title"))
+    one = F.struct(
+        F.when(F.col("id") % 3 != 0, F.col("id").cast("string")).alias("id"), F.when(F.col("id") % 3 != 1, F.col("title")).alias("original"), F.upper("title").alias("standardized_title"), (F.col("id") % 5 != 0).alias("is_valid_job"),
+    )
+    raw = asked.groupBy("batch_id").agg(F.to_json(F.collect_list(one)).alias("j")).select("batch_id", F.concat(F.lit("```json\n"), "j", F.lit("\n```")).alias("raw_text"))
+    return json_skills.title_answers(raw, asked)
+
+
+def json_years(spark: SparkSession, base: str) -> DataFrame:
+    """Years of the annotations as whole numbers, cut and to the nearest even one."""
+    s = table(spark, base, "annotations_unified").select(F.explode("skills").alias("s")).select(F.col("s.min_years").alias("written")).distinct()
+    return s.select("written", json_skills.whole_years(F.col("written")).alias("cut"), F.bround(F.col("written").try_cast("double"), 0).try_cast("int").alias("rounded"))
+
+
 def events_props(spark: SparkSession, base: str) -> DataFrame:
     e = table(spark, base, "events")
     return e.groupBy("event_type").agg(F.count("*").alias("n"), F.sum(F.from_json("props", "k long")["k"]).alias("sum_k"), F.round(F.sum("value"), 4).alias("sum_value"))
@@ -494,6 +646,37 @@ def html_rows(spark: SparkSession, base: str) -> DataFrame:
     return rows.select("posting_id", "r.kind", "r.job_title", "r.company", "r.salary")
 
 
+def _esc(c: str) -> Column:
+    text = F.coalesce(F.trim(F.regexp_replace(c, r"[\s\u00a0]+", " ")), F.lit(""))
+    return F.replace(F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+
+
+def html_brand(spark: SparkSession, base: str) -> DataFrame:
+    """Pages of companies' own sites made of postings and read again."""
+    j = table(spark, base, "raw_jobs_topcv").groupBy("posting_id").agg(*(F.max(c).alias(c) for c in ("job_title", "company", "salary", "experience", "level")))
+    page = F.concat(
+        F.lit("<html><h1>"), _esc("job_title"), F.lit("<span>HOT</span><i>*</i></h1><div class='company-name'>"), _esc("company"), F.lit("</div><div><b>Mức lương</b><span>"), _esc("salary"), F.lit("</span></div><div><b>Kinh nghiệm</b><span>"),
+        _esc("experience"), F.lit("</span></div><div><b>Cấp bậc</b><span>"), _esc("level"), F.lit("</span></div></html>"),
+    )
+    rows = j.select("posting_id", html.column(html.brand_row, html.BRAND_ROW)(page).alias("r"))
+    return rows.select("posting_id", "r.job_title", "r.company", "r.salary", "r.experience", "r.level")
+
+
+def html_sidebar(spark: SparkSession, base: str) -> DataFrame:
+    j = table(spark, base, "raw_jobs_topcv").groupBy("posting_id").agg(F.max("industry").alias("industry"), F.max("level").alias("level"))
+    page = F.concat(F.lit("<ul><li><b>Industry:</b><p>"), _esc("industry"), F.lit("</p></li><li><b>Level</b><p>"), _esc("level"), F.lit("</p></li><li><b>Level</b><p>again</p></li></ul>"))
+    read = html.column(lambda p: html.pairs_of(html.parse(p), "li", "b", "p"), "map<string,string>")
+    return j.select("posting_id", read(page).alias("m")).select("posting_id", F.try_element_at("m", F.lit("Industry")).alias("industry"), F.try_element_at("m", F.lit("Level")).alias("level"))
+
+
+def html_links(spark: SparkSession, base: str) -> DataFrame:
+    """Job links of search pages, one page per title, those of titles already crawled left out."""
+    s = table(spark, base, "skills_flat").filter("standardized_title is not null and url is not null").select(F.col("standardized_title").alias("tag"), "url").distinct()
+    anchors = F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("<h3 class='title'><a href='"), "url", F.lit("'>x</a></h3>")))), "")
+    pages = s.groupBy("tag", F.pmod(F.xxhash64("url"), F.lit(50)).alias("page")).agg(anchors.alias("html"))
+    return html.crawl_links(pages, spark.createDataFrame([("Tester",), ("Tester",)], "tag string"))
+
+
 def _scratch(spark: SparkSession) -> str:
     """A folder of its own in the shared folder."""
     return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
@@ -519,7 +702,8 @@ QUERIES = {
         name_collisions, referential_check, split_halves, batching, calibration_sample, seeded_sample, skill_drop_reasons, skill_aggregate, alias_closure, alias_stats, dominant_vote, cluster_summary,
         canonical_mapping, skill_distribution, short_names, role_block, category_override, apply_overrides, cross_category, suggested_action, top_skills_per_category, embedding_edges,
         embedding_components, embedding_clusters, iaa_f1, iaa_kappa_label, iaa_kappa_category, iaa_confusion, iaa_errors, iaa_fleiss, iaa_match, iaa_similar_f1, iaa_similar_kappa_label, iaa_similar_kappa_category,
-        iaa_similar_confusion, iaa_similar_errors, iaa_similar_fleiss, iaa_bootstrap, json_parse, json_errors, events_props,
-        html_rows, stream_resume,
+        iaa_similar_confusion, iaa_similar_errors, iaa_similar_fleiss, iaa_bootstrap, json_parse, json_errors, json_strict, json_titles, json_years, events_props,
+        html_rows, html_brand, html_sidebar, html_links, stream_resume, iaa_report, salary_bounds, salary_masks, salary_completeness, mapping_invariants, run_report, canonical_collisions, unique_keys,
+        alias_validate, alias_merge, first_source_text, first_category, first_appearance, variant_overlap, joined_categories, job_urls, level_clean, level_declared, fields_clean,
     )
 }

@@ -8,8 +8,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from postmill.functions import fields, html, json_skills, text, titles
-from postmill.operators import agreement, clusters, relational, skills
+from postmill.functions import fields, html, json_skills, salary, text, titles
+from postmill.operators import agreement, checks, clusters, relational, skills
 from postmill.plans import reference_queries
 from postmill.sources import readers, sinks
 from postmill.streaming import jobs as streams
@@ -302,3 +302,129 @@ def test_stream_resume_goes_on_where_it_stopped(spark, tmp_path):
     run()
     assert {(r.url, r.n) for r in spark.read.parquet(out).collect()} == {("a", 1), ("c", 2)}
     assert spark.read.parquet(err).count() == 1
+
+
+def test_alias_chains_and_cycles_of_any_length(spark):
+    chain = spark.createDataFrame([(f"n{k:02d}", f"n{k + 1:02d}") for k in range(40)] + [("x", "y")], "variant string, canonical string")
+    closed = {r.variant: r.canonical for r in skills.close_aliases(chain).collect()}
+    assert closed == {f"n{k:02d}": "n40" for k in range(40)} | {"x": "y"}
+    for cycle in ([("a", "b"), ("b", "c"), ("c", "a")], [("a", "b"), ("b", "a"), ("p", "q")], [("a", "a")], [("p", "a"), ("a", "b"), ("b", "c"), ("c", "d"), ("d", "e"), ("e", "a")]):
+        with pytest.raises(skills.AliasCycle):
+            skills.close_aliases(spark.createDataFrame(cycle, "variant string, canonical string"))
+    assert skills.close_aliases(chain.limit(0)).count() == 0
+
+
+def test_the_last_extraction_of_a_mention_stays_whole(spark):
+    rows = [(1, "r", "Java", "required_skill", "B", "2025-01-01"), (1, "r", "SQL", None, "A", "2025-02-01"), (2, "r", "Go", None, None, None), (2, "r", "Go", "x", "C", None), (3, "r", " ", "x", "C", None)]
+    df = spark.createDataFrame(rows, "mention_id long, row_id string, skill_name string, label string, category string, t string").withColumn("extracted_at", F.col("t").cast("timestamp_ntz"))
+    assert {(r.mention_id, r.skill, r.label, r.category) for r in skills.clean_mentions(df).collect()} == {(1, "sql", None, "A"), (2, "go", "x", "C")}
+
+
+def test_patches_of_all_batches_stay(spark, tmp_path):
+    source, base, out, ck = (str(tmp_path / x) for x in ("in", "base", "out", "ck"))
+    spark.createDataFrame([(k, "old", k) for k in range(4)], "id int, v string, w int").write.parquet(base)
+    schema = "id int, v string, at int"
+
+    def run():
+        streams.patch_stream(streams.read_files(spark, source, schema), base, out, ck, "id", ["v"], "at").awaitTermination()
+        return {(r.id, r.v) for r in streams.latest_batch(spark, out).collect()}
+
+    spark.createDataFrame([(1, "late", 9), (1, "early", 3), (9, "nobody", 1)], schema).write.parquet(source)
+    assert run() == {(0, "old"), (1, "late"), (2, "old"), (3, "old")}
+    spark.createDataFrame([(2, None, 1)], schema).write.mode("append").parquet(source)
+    assert run() == {(0, "old"), (1, "late"), (2, None), (3, "old")}
+
+
+def test_retries_and_crawl(spark):
+    waits, calls = [], []
+
+    def call():
+        calls.append(1)
+        if len(calls) < 3:
+            raise OSError("no")
+        return "yes"
+
+    assert streams.with_retries(call, 3, 5, waits.append) == "yes" and waits == [5, 10]
+    with pytest.raises(OSError):
+        streams.with_retries(lambda: (_ for _ in ()).throw(OSError()), 2, 1, waits.append)
+    urls = spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "url string")
+    log = spark.createDataFrame([("a", "done"), ("b", "failed"), ("c", "gone"), ("a", "failed")], "url string, status string")
+    assert {r.url for r in streams.crawl_pending(urls, log).collect()} == {"b", "d"}
+
+
+def test_checks(spark):
+    members = spark.createDataFrame([("a", "x", 3), ("b", "x", 2)], "name string, category string, total long")
+    good = spark.createDataFrame([("a", "x", "A", 3), ("b", "x", "B", 2)], "name string, category string, final string, total long")
+    checks.require(checks.mapping_checks(members, good))
+    bad = spark.createDataFrame([("a", "x", None, 3), ("c", "x", "C", 3), ("c", "x", "C", 0)], good.schema)
+    found = {r.check: r.violations for r in checks.mapping_checks(members, bad).collect()}
+    assert found == {"conservation": 1, "missing": 1, "extra": 1, "null_final": 1, "repeated": 1}
+    with pytest.raises(checks.CheckFailed, match="conservation: 1"):
+        checks.require(checks.mapping_checks(members, bad))
+    assert checks.mapping_checks(members.limit(0), good.limit(0)).agg(F.sum("violations")).first()[0] == 0
+    assert checks.assert_unique(members, "name") is members
+    with pytest.raises(checks.CheckFailed, match="1 rows without a value, 1 repeated"):
+        checks.assert_unique(spark.createDataFrame([("a",), ("a",), (None,)], "name string"), "name")
+    assert checks.config_hash({"b": 1, "a": [2]}) == checks.config_hash({"a": [2], "b": 1}) != checks.config_hash({"a": 2})
+
+
+def test_salaries(spark):
+    cases = {
+        "Up to $2,000": (0.0, 50.0, 50.0), "10 - 15 triệu": (10.0, 15.0, 12.5), "Từ 15.000.000 VND": (15.0, 0.0, 15.0), "1000 USD": (25.0, 25.0, 25.0), "66.7 tr": (66.7, 66.7, 66.7), "Tới 20 triệu": (0.0, 20.0, 20.0), "Thỏa thuận": (0.0, 0.0, 0.0),
+        "": (0.0, 0.0, 0.0), None: (0.0, 0.0, 0.0), "x" * 9000: (0.0, 0.0, 0.0),
+    }
+    got = column(spark, list(cases), salary.salary_bounds)
+    assert [tuple(g) for g in got] == list(cases.values())
+    df = salary.process_salary(spark.createDataFrame([(i, s, 1) for i, s in enumerate(cases)], "i int, salary string, avg_salary int"))
+    missing = {r.i: r.is_missing_salary for r in df.collect()}
+    assert [missing[i] for i in range(len(cases))] == [False] * 6 + [True] * 4
+    assert column(spark, ["Negotiable ", "", None, "5"], salary.valid_salary) == [False, False, False, True]
+
+
+def test_relational_small(spark):
+    df = spark.createDataFrame([("a", None, 1), ("a", "x", 2), ("b", None, 3), ("a", "y", 4)], "g string, v string, o int")
+    assert {tuple(r) for r in relational.counts_with_first(df, "g", "v", [F.col("o")]).collect()} == {("a", 3, "x"), ("b", 1, None)}
+    assert {tuple(r) for r in relational.first_value(df, "g", "v", [F.col("o")]).collect()} == {("a", "x"), ("b", None)}
+    assert [tuple(r) for r in relational.first_appearance_ids(df, "v", "o", start=5).orderBy("id").collect()] == [("x", 5), ("y", 6)]
+    assert relational.rename_columns(df, {"g": "h", "zz": "q"}).columns == ["h", "v", "o"] and relational.drop_columns(df, "v", "zz").columns == ["g", "o"]
+    with pytest.raises(ValueError):
+        relational.rename_columns(df, {"g": "v"})
+    with pytest.warns(UserWarning, match="zz"):
+        assert relational.keep_available(df, ["o", "zz", "g"]).columns == ["o", "g"]
+    row = spark.range(1).select(relational.flat_pieces(F.array(F.lit("a|b|"), F.lit(None), F.lit("b|c"))).alias("f"), relational.overlap(F.array(F.lit("a"), F.lit("b")), F.lit(None)).alias("o")).first()
+    assert row.f == ["a", "b", "c"] and (row.o.both, row.o.either) == ([], ["a", "b"])
+    assert column(spark, ["x-123", "x-12", None], relational.job_url) == [True, False, False]
+
+
+def test_alias_bootstrap(spark):
+    counts = spark.createDataFrame([("ReactJS", 9), ("react", 5), ("vue", 3), ("rare", 1), (" ", 99)], "name string, n long")
+
+    def answer(names):
+        assert "rare" not in names
+        return "```yaml\naliases:\n- canonical: React\n  variants: [reactjs, nothing, react]\n- canonical: unheard\n  variants: [vue]\n- 7\n```" if "vue" in names else "- no mapping"
+
+    got = {r.canonical: r.variants for r in skills.bootstrap_aliases(counts, answer, 2, 3).collect()}
+    assert got == {"react": ["reactjs"]}
+    assert json_skills.yaml_aliases("aliases: 3") == json_skills.yaml_aliases(": : [") == json_skills.yaml_aliases(None) == []
+
+
+def test_strict_json_and_title_answers(spark):
+    good = '{"skill_name": "A", "label": "required_skill", "category": "c"}'
+    cases = [(f'{{"skills": [{good}]}}', "direct"), (f'{{"skills": [{good},]}}', "repaired"), (f'{{"skills": [{good}, {{"skill_name": "B", "label": "odd", "category": "c"}}]}}', "coerced"), ("no", "rejected"), (None, "rejected")]
+    log = spark.createDataFrame([(i, t, None) for i, (t, _) in enumerate(cases)], "row_id int, raw_text string, error string")
+    got = {r.row_id: r for r in json_skills.validate_log(log, ["row_id"]).collect()}
+    assert [got[i].level for i in range(len(cases))] == [x for _, x in cases] and len(got[2].skills) == 2 and got[3].skills is None
+    asked = spark.createDataFrame([(1, 1, "Dev"), (1, 2, "QA"), (2, 3, "Dev")], "batch_id int, id int, title string")
+    raw = spark.createDataFrame([(1, '```json\n[{"original": "QA", "standardized_title": "Q"}, {"id": "1", "standardized_title": "D"}]\n```'), (2, "sorry")], "batch_id int, raw_text string")
+    assert {(r.batch_id, r.id, r.original, r.standardized_title) for r in json_skills.title_answers(raw, asked).collect()} == {(1, "2", "QA", "Q"), (1, "1", "Dev", "D")}
+    assert column(spark, ["3.9", "x", "-1.5", None, "NaN"], json_skills.whole_years) == [3, None, -1, None, None]
+
+
+def test_agreement_report(spark):
+    rows = [(str(r), who, k, f"skill number {k} of {r}", "required_skill" if (r + k) % 2 else "preferred_skill", "A" if k % 2 else "B") for r in range(12) for who in ("human_a", "human_b", "llm") for k in range(4)]
+    df = spark.createDataFrame(rows, "record_id string, annotator string, ord int, name string, label string, category string")
+    got = {(r.task, r.pair): r for r in agreement.run_report(df, df.select("record_id"), 50).collect()}
+    assert set(got) == {("t1", p) for p in agreement.F1_LEAST} | {("t2", p) for p in (*agreement.LABEL_LEAST, "fleiss_kappa_all")} | {("t3", p) for p in agreement.CATEGORY_LEAST} | {("overall", "all")}
+    assert all(r.value == 1.0 and r.status == "PASS" for k, r in got.items() if k[0] != "overall") and got["overall", "all"].status == "PASS" and got["overall", "all"].n == 0
+    one = agreement.run_report(df.filter("annotator = 'llm'"), df.select("record_id"), 50).collect()
+    assert [(r.task, r.status, r.n) for r in one] == [("overall", "FAIL", 0)]
