@@ -129,6 +129,19 @@ class Bpe:
         _, codes, per = self._codes(texts)
         return np.diff(np.r_[0, np.cumsum(self.length[codes])][np.r_[0, np.cumsum(per)]])
 
+    def encoded_over(self, texts: list[str | None], limit: int) -> list[tuple[int, list[str], np.ndarray, np.ndarray]]:
+        """(index, words, tokens of each word, ids) of the texts with more than `limit` tokens; every text is cut into words once."""
+        words, codes, per = self._codes(texts)
+        sizes = self.length[codes]
+        ends = np.cumsum(per)
+        total = np.r_[0, np.cumsum(sizes)]
+        out = []
+        for i in np.flatnonzero(total[ends] - total[ends - per] > limit):
+            a, b = ends[i] - per[i], ends[i]
+            begin = np.repeat(self.start[codes[a:b]] - (total[a:b] - total[a]), sizes[a:b])
+            out.append((int(i), words[a:b], sizes[a:b], self.flat[begin + np.arange(total[b] - total[a])]))
+        return out
+
     def byte_lengths(self) -> np.ndarray:
         """Bytes of each token, by id."""
         return self._bytes

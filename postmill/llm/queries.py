@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from postmill.llm import aliases, consensus, encoding, entries, language, linkage, mixing, pairs, splitting
 from postmill.operators.pay import monthly_kvnd
@@ -133,6 +134,15 @@ def p6_found(spark: SparkSession, base: str) -> DataFrame:
     return found.filter(often).select(F.col("item_a").alias("skill_id_a"), F.col("item_b").alias("skill_id_b"))
 
 
+def p6_listed(spark: SparkSession, base: str) -> DataFrame:
+    """All pairs of skills that records name exactly as listed, case and blanks at the ends aside, with their counts and lift."""
+    ref = table(spark, base, "skill_reference")
+    names = ref.select(F.explode(F.concat(F.array("canonical"), F.coalesce("variants", F.array().cast("array<string>")))).alias("name"), "skill_id").groupBy(F.lower(F.trim("name")).alias("name")).agg(F.min("skill_id").alias("item"))
+    flat = table(spark, base, "skills_flat").select("row_id", F.lower(F.trim("skill_name")).alias("name")).join(names, "name", "left")
+    found = pairs.associations(checkpointed(pairs.baskets_of(flat, "row_id", "item")))
+    return found.select("item_a", "item_b", "n_ab", "n_a", "n_b", "n", F.round("lift", 9).alias("lift"))
+
+
 def p6_categories(spark: SparkSession, base: str) -> DataFrame:
     """How often categories of the skill list stand together in a record, and their lift."""
     rows = table(spark, base, "skill_reference").select("skill_id", "category").limit(MAX_REFERENCE_ROWS + 1).collect()
@@ -204,6 +214,31 @@ def p9_shares(spark: SparkSession, base: str) -> DataFrame:
     return mixing.report(*_mix(spark, base))
 
 
+def p9_bounds(spark: SparkSession, base: str) -> DataFrame:
+    """(source, within): whether every source stays within its caps and its tokens within one block of its quota."""
+    mixed, shares = _mix(spark, base)
+    sizes = mixed.agg(F.max("n_tokens")).first()[0] or 0
+    block = max(sum(s.quota for s in shares) / mixing.BLOCKS, sizes)
+    got = mixing.report(mixed, shares)
+    quotas = spark.createDataFrame([(s.source, float(s.quota)) for s in shares], "source string, quota double")
+    within = (F.abs(F.col("tokens") - F.col("quota")) <= block) & (F.col("most_repeats") <= F.col("max_repeats"))
+    return got.join(quotas, "source").select("source", within.alias("within"))
+
+
+def p10_bounds(spark: SparkSession, base: str) -> DataFrame:
+    """One row of what is wrong with the pieces, all 0: too long, sharing other than the overlap, not part of the text, first or last token left out."""
+    limits = table(spark, base, "split_limits").select("tokenizer", "max_tokens", "overlap_tokens").first()
+    path = encoding.tokenizer_path(limits[0])
+    pieces = checkpointed(p10_pieces(spark, base))
+    recounted = encoding.with_token_counts(pieces, "text", path, "own_tokens").withColumn("before", F.lag("end_token").over(Window.partitionBy("doc_id").orderBy("piece_no")))
+    docs = encoding.with_token_counts(table(spark, base, "documents").select("doc_id", F.col("text").alias("whole")), "whole", path, "all_tokens")
+    ends = pieces.groupBy("doc_id").agg(F.min("first_token").alias("begin"), F.max("end_token").alias("end"))
+    over = recounted.agg(F.count_if((F.col("n_tokens") > limits[1]) | (F.col("own_tokens") > limits[1])).alias("too_long"), F.count_if(F.col("before") - F.col("first_token") != limits[2]).alias("other_overlap"))
+    torn = recounted.join(docs, "doc_id").agg(F.count_if(~F.contains("whole", "text")).alias("not_in_text"))
+    cut = docs.filter(F.col("all_tokens") > limits[1]).join(ends, "doc_id", "left").agg(F.count_if(F.col("begin").isNull() | (F.col("begin") != 0) | (F.col("end") != F.col("all_tokens"))).alias("left_out"))
+    return over.withColumn("not_in_text", torn.scalar()).withColumn("left_out", cut.scalar())
+
+
 def p10_pieces(spark: SparkSession, base: str) -> DataFrame:
     """The pieces of every document over the limit of split_limits."""
     limits = table(spark, base, "split_limits").select("tokenizer", "max_tokens", "overlap_tokens").first()
@@ -216,4 +251,4 @@ def p10_found(spark: SparkSession, base: str) -> DataFrame:
     return p10_pieces(spark, base).filter(F.col("piece_no") == 1).select("doc_id")
 
 
-QUERIES = {"p2_found": p2_found, "p2_annotators": p2_annotators, "p2_agreement": p2_agreement, "p2_labels": p2_labels, "p3_found": p3_found, "p5_found": p5_found, "p5_matches": p5_matches, "p6_found": p6_found, "p6_categories": p6_categories, "p7_found": p7_found, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_pieces": p10_pieces}
+QUERIES = {"p2_found": p2_found, "p2_annotators": p2_annotators, "p2_agreement": p2_agreement, "p2_labels": p2_labels, "p3_found": p3_found, "p5_found": p5_found, "p5_matches": p5_matches, "p6_found": p6_found, "p6_categories": p6_categories, "p7_found": p7_found, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p6_listed": p6_listed, "p9_bounds": p9_bounds, "p10_bounds": p10_bounds, "p10_pieces": p10_pieces}

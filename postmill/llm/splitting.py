@@ -97,29 +97,28 @@ def gaps(text: str, words: list[str], word_char: np.ndarray, terms: Terms) -> tu
     return at, depth + np.array([BLANK_LINE if _BLANK_LINE.search(t) else LINE_END if _LINE.search(t) else 0.0 for t in tails])
 
 
-def split_text(text: str, bpe: Bpe, max_tokens: int, overlap: int, terms: Terms | None = None) -> list[tuple[int, int, int, int, str]]:
-    """Pieces (first token, end token, tokens, shared with the piece before, text); [] when the text fits.
+def split_text(text: str, bpe: Bpe, max_tokens: int, overlap: int) -> list[tuple[int, int, int, int, str]]:
+    """Pieces of one text as split_encoded gives them; [] when the text fits."""
+    if not 0 <= overlap < max_tokens // 2:
+        raise ValueError("the overlap must be less than half of max_tokens")
+    return [p for _, *rest in bpe.encoded_over([text], max_tokens) for p in split_encoded(text, *rest, bpe, max_tokens, overlap, Terms())]
+
+
+def split_encoded(text: str, words: list[str], sizes: np.ndarray, ids: np.ndarray, bpe: Bpe, max_tokens: int, overlap: int, terms: Terms) -> list[tuple[int, int, int, int, str]]:
+    """Pieces (first token, end token, tokens, shared with the piece before, text) of a text with its words, their tokens and its ids.
 
     Every piece has at most max_tokens tokens of the text and at most max_tokens when encoded by itself.
     Neighbours share exactly `overlap` tokens; the text of a piece whose first token lies inside a character begins with
     that character. Where a window has no gap the cut falls between words, within a word longer than the window
     between characters. A limit that not even a piece just longer than the overlap keeps is an error.
     """
-    if not 0 <= overlap < max_tokens // 2:
-        raise ValueError("the overlap must be less than half of max_tokens")
     data = text.encode()
-    if len(data) <= max_tokens:  # a token has at least one byte
-        return []
-    words, sizes = bpe.words(text)
     total = int(sizes.sum())
-    if total <= max_tokens:
-        return []
-    ids, _ = bpe.encode([text])
     lengths = bpe.byte_lengths()[ids]
     token_byte = np.r_[0, np.cumsum(lengths)]
     word_token = np.r_[0, np.cumsum(sizes)]
     word_char = np.r_[0, np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)))]
-    at, depth = gaps(text, words, word_char, terms or Terms())
+    at, depth = gaps(text, words, word_char, terms)
     # a gap counts at the word that begins at or before it: the pattern puts a blank at the head of the next word
     slot = np.searchsorted(word_char, at, side="right") - 1
     gap_token = word_token[slot]
@@ -135,6 +134,23 @@ def split_text(text: str, bpe: Bpe, max_tokens: int, overlap: int, terms: Terms
             b -= 1
         return data[b : int(token_byte[end])].decode()
 
+    def begins_anywhere(k: int) -> bool:
+        """Whether a word begins at the k-th word in any text around it: one blank between a character that is none and one that is none."""
+        return 0 < k < len(words) and len(words[k]) > 1 and words[k][0] == " " and not words[k][1].isspace() and not words[k - 1][-1].isspace()
+
+    def own_tokens(start: int, end: int, body: str) -> int:
+        """Tokens of a piece encoded by itself: those of the text, but for its head if that begins inside a word, and its end if that is blank."""
+        last = int(np.searchsorted(word_token, end))
+        if word_token[last] == end and not body[-1].isspace():
+            k = int(np.searchsorted(word_token, start))
+            if word_token[k] == start:
+                return end - start
+            while k < last and not begins_anywhere(k):
+                k += 1
+            if k < last:
+                return int(bpe.count([piece(start, int(word_token[k]))])[0]) + end - int(word_token[k])
+        return int(bpe.count([body])[0])
+
     def cut(start: int, limit: int) -> int:
         """Where the piece from `start` ends."""
         if total - start <= limit:
@@ -156,7 +172,7 @@ def split_text(text: str, bpe: Bpe, max_tokens: int, overlap: int, terms: Terms
     while True:
         end = cut(start, limit)
         body = piece(start, end)
-        over = int(bpe.count([body])[0]) - max_tokens
+        over = own_tokens(start, end, body) - max_tokens
         if over > 0:  # cut apart from its neighbours the text may need more tokens: try a shorter piece
             if limit <= overlap + 1:
                 raise ValueError(f"no piece of {max_tokens} tokens at token {start} is longer than the overlap")
@@ -173,6 +189,8 @@ def split_oversized(df: DataFrame, key: str, text: str, path: str, max_tokens: i
 
     A map without shuffle; rows that fit, null and empty texts give no row. Other columns are dropped.
     """
+    if not 0 <= overlap < max_tokens // 2:
+        raise ValueError("the overlap must be less than half of max_tokens")
     source = df.select(df[key].alias("__key"), df[text].alias("__text"))
     fields = [("piece_no", T.IntegerType()), ("first_token", T.LongType()), ("end_token", T.LongType()), ("n_tokens", T.LongType()), ("shared_tokens", T.LongType()), ("text", T.StringType())]
     schema = T.StructType([T.StructField(key, source.schema["__key"].dataType), *(T.StructField(n, t) for n, t in fields)])
@@ -184,10 +202,10 @@ def split_oversized(df: DataFrame, key: str, text: str, path: str, max_tokens: i
             texts = batch.column(1).to_pylist()
             for a, b in chunks(texts):
                 rows, owners = [], []
-                for i in a + np.flatnonzero(bpe.count(texts[a:b]) > max_tokens):
-                    for n, p in enumerate(split_text(texts[i], bpe, max_tokens, overlap, terms)):
+                for i, *rest in bpe.encoded_over(texts[a:b], max_tokens):
+                    for n, p in enumerate(split_encoded(texts[a + i], *rest, bpe, max_tokens, overlap, terms)):
                         rows.append((n + 1, *p))
-                        owners.append(i)
+                        owners.append(a + i)
                 if rows:
                     columns = [pa.array(c, t) for c, t in zip(zip(*rows), types)]
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owners, pa.int64())), *columns], names=schema.names)

@@ -80,6 +80,18 @@ def test_pieces_keep_to_the_limit(bpe):
         splitting.split_text("x" * 999, bpe, 40, 20)
 
 
+@settings(max_examples=80, deadline=None)
+@given(st.text(alphabet="ab's lt\n1.,é語\u00a0🙂", min_size=60, max_size=300), st.integers(8, 30))
+def test_pieces_of_odd_texts_keep_to_the_limit(text, limit):
+    b = encoding.load(PATH)
+    try:
+        pieces = splitting.split_text(text, b, limit, 3)
+    except ValueError:
+        return  # no piece of so few tokens is longer than the overlap
+    if pieces:
+        check_pieces(text, pieces, b, limit, 3)
+
+
 def test_the_deepest_valley_is_the_topic_change():
     text = " ".join(SENTENCES[:2] * 8 + SENTENCES[2:4] * 8)
     words, _ = encoding.load(PATH).words(text)
