@@ -294,4 +294,8 @@ ORACLES: dict[str, str] = {
     "html_sidebar": f"select posting_id, nullif({tidy('max(industry)')}, '') as industry, coalesce(nullif({tidy('max(level)')}, ''), 'again') as level from raw_jobs_topcv group by posting_id",
     "html_links": "select distinct standardized_title as tag, url as link from skills_flat where standardized_title != 'Tester' and url is not null",
     "alias_validate": f"select ord, canonical, array_to_string(list_sort(variants), '|') as variants from {VALID}",
+    "p1_conversions": """select s.s || ' ' || c.unit || '/' || p.unit as unit, round(s.x * c.numer * p.numer / (c.denom * p.denom * 1000.0::double), 9) as factor, 0::bigint as add_numer from (values ('', 1), ('k', 1000), ('man', 10000), ('m', 1000000)) s(s, x),
+ (select * from unit_factors where kind = 'currency') c, (select * from unit_factors where kind = 'period') p""",
+    "sample_properties": """with t as (select standardized_title, count(distinct row_id) as n from skills_flat where standardized_title is not null group by 1), k as (select count(*) as titles, count(*) filter (n >= 10) as major from t)
+ select least(50, titles) as calibration, least(50, titles) as titles, least(50, major) as major, least(50, titles) as of_table, least(50, p) as simple, least(50, p) as simple_of_table from k, (select count(distinct posting_id) as p from raw_jobs_itviec)""",
 }

@@ -237,6 +237,19 @@ def seeded_sample(spark: SparkSession, base: str) -> DataFrame:
     return relational.seeded_sample(table(spark, base, "raw_jobs_itviec").select("posting_id").distinct(), "posting_id", 50)
 
 
+def sample_properties(spark: SparkSession, base: str) -> DataFrame:
+    """What holds for the samples whatever rows they draw: sizes, one row a title, titles with many rows first, rows of the table only."""
+    flat = table(spark, base, "skills_flat").select("standardized_title", "row_id").distinct()
+    picked = checkpointed(calibration_sample(spark, base))
+    simple = checkpointed(seeded_sample(spark, base))
+    posted = table(spark, base, "raw_jobs_itviec").select("posting_id").distinct()
+    one = picked.agg(F.count("*").alias("calibration"), F.countDistinct("standardized_title").alias("titles"), F.count_if(F.col("title_rows") >= 10).alias("major"))
+    true = picked.join(flat, ["standardized_title", "row_id"], "left_semi").agg(F.count("*"))
+    drawn = simple.agg(F.countDistinct("posting_id"))
+    known = simple.join(posted, "posting_id", "left_semi").agg(F.count("*"))
+    return one.withColumn("of_table", true.scalar()).withColumn("simple", drawn.scalar()).withColumn("simple_of_table", known.scalar())
+
+
 # skills
 
 
@@ -699,7 +712,7 @@ QUERIES = {
         text_skill_key, text_skill_match_key, text_category_key, text_title_tokens, text_url_key, text_fold, location_canonical, level_extract, education_extract, experience_extract,
         employment_type, employment_reconcile, salary_placeholders, title_classify, title_drop_breakdown, title_drop_report, title_post_filter, title_standard, title_rule_audit, union_boards,
         dedup_first, dedup_last, surrogate_keys, star_schema, recrawl_needed, patch_recrawled, unprocessed_anti, merge_llm_titles, missing_profile, value_counts_pct, category_stats, title_stats,
-        name_collisions, referential_check, split_halves, batching, calibration_sample, seeded_sample, skill_drop_reasons, skill_aggregate, alias_closure, alias_stats, dominant_vote, cluster_summary,
+        name_collisions, referential_check, split_halves, batching, calibration_sample, seeded_sample, sample_properties, skill_drop_reasons, skill_aggregate, alias_closure, alias_stats, dominant_vote, cluster_summary,
         canonical_mapping, skill_distribution, short_names, role_block, category_override, apply_overrides, cross_category, suggested_action, top_skills_per_category, embedding_edges,
         embedding_components, embedding_clusters, iaa_f1, iaa_kappa_label, iaa_kappa_category, iaa_confusion, iaa_errors, iaa_fleiss, iaa_match, iaa_similar_f1, iaa_similar_kappa_label, iaa_similar_kappa_category,
         iaa_similar_confusion, iaa_similar_errors, iaa_similar_fleiss, iaa_bootstrap, json_parse, json_errors, json_strict, json_titles, json_years, events_props,
