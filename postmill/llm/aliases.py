@@ -141,19 +141,21 @@ def title_votes(facts: DataFrame) -> DataFrame:
         (True, (c("city"), c("low_kvnd"), c("high_kvnd"))), (True, (none, c("low_kvnd"), c("high_kvnd"))), (c("low_kvnd") > 0, (c("city"), c("low_kvnd"), none)), (c("high_kvnd") > 0, (c("city"), none, c("high_kvnd"))),
     ]
     blocks = F.array_compact(F.array(*(F.when(F.lit(when) if when is True else when, F.struct(F.lit(i).alias("kind"), *(x.alias(n) for x, n in zip(key, ("city", "low", "high"))))) for i, (when, key) in enumerate(kinds))))
-    x = F.struct("job_title", F.greatest("title", F.lit(0)).alias("title"), "posting_id")
-    name = F.when(c("title") > 0, c("title").cast("string")).otherwise(F.lower("job_title"))
-    sides = [agg for b in (0, 1) for agg in (F.min(F.when(c("board") == b, c("x"))).alias(f"x{b}"), F.min(F.when(c("board") == b, c("name"))).alias(f"least{b}"), F.max(F.when(c("board") == b, c("name"))).alias(f"most{b}"))]
-    groups = rows.select("company", "board", x.alias("x"), name.alias("name"), F.explode(blocks).alias("k")).groupBy("company", "k").agg(*sides).filter("least0 = most0 and least1 = most1")
-    pairs = groups.select("x0", "x1").distinct()
-    both = pairs.select(c("x0").alias("x"), c("x1.title").alias("entry")).unionByName(pairs.select(c("x1").alias("x"), c("x0.title").alias("entry")))
-    loose = both.filter("x.title = 0").select(F.explode(_forms_udf(core_title)(c("x.job_title"))).alias("form"), "entry")
+    # whether a board has one title only is told by hashes of the titles: numbers are aggregated without sorting
+    name = F.when(c("title") > 0, c("title").cast("long")).otherwise(F.xxhash64(F.lower("job_title")))
+    sides = [agg for b in (0, 1) for agg in (F.min(F.when(c("board") == b, c("posting_id"))).alias(f"id{b}"), F.min(F.when(c("board") == b, c("name"))).alias(f"least{b}"), F.max(F.when(c("board") == b, c("name"))).alias(f"most{b}"))]
+    groups = rows.select("company", "board", "posting_id", name.alias("name"), F.explode(blocks).alias("k")).groupBy("company", "k.kind", "k.city", "k.low", "k.high").agg(*sides)
+    pairs = checkpointed(groups.filter("least0 = most0 and least1 = most1").select("id0", "id1").distinct())
+    x0, x1 = (rows.filter(c("board") == b).select(c("posting_id").alias(f"id{b}"), F.struct(F.greatest("title", F.lit(0)).alias("title"), "job_title").alias(f"x{b}")) for b in (0, 1))
+    both = pairs.join(x0, "id0").join(x1, "id1").distinct()  # a posting may have several rows
+    each = both.select(F.explode(F.array(F.struct(c("x0").alias("x"), c("x1.title").alias("entry")), F.struct(c("x1").alias("x"), c("x0.title").alias("entry")))).alias("p")).select("p.x", "p.entry")
+    loose = each.filter("x.title = 0").select(F.explode(_forms_udf(core_title)(c("x.job_title"))).alias("form"), "entry")
     return loose.groupBy("form", "entry").agg(F.count("*").alias("n"))
 
 
 def title_vocabulary(facts: DataFrame, keys: Keys) -> Keys:
     """The list's keys with the learnt ones."""
-    return keys + further(keys, elected(title_votes(facts)), title_forms)
+    return keys + further(keys, elected(title_votes(checkpointed(facts))), title_forms)
 
 
 def forms_of(affixes: Affixes) -> Callable[[str], list[str]]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 from postmill.llm.entries import fold
 
@@ -20,6 +21,7 @@ _CITY_BIT = {name: 1 << i for i, names in enumerate(CITIES.values()) for name in
 _CITY = re.compile(rf"\b(?:{'|'.join(sorted(_CITY_BIT, key=len, reverse=True))})\b")
 
 
+@lru_cache(maxsize=100_000)
 def company_key(name: str | None) -> str:
     """What a company is known by: folded, without legal words, abbreviations in parentheses, blanks and marks."""
     t = re.sub(r"[.,]", " ", re.sub(r"\([^)]*\)", " ", fold(name or "")))
