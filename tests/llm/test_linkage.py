@@ -83,6 +83,44 @@ def test_equal_keys_mix_the_boards(spark):
     assert linkage.assign(pairs).count() >= 0.9 * n
 
 
+def test_blocks_larger_than_the_window_lose_no_pair(spark):
+    rng, n, rows = random.Random(8), 600, []
+    for k in range(n):  # a company unknown, the counted size off by one, 60 postings of each size
+        rows += [(k, 0, "", 1, 0, 1, f"amber:{10 + k % 10}", 0, 0, bytes(14)), (100_000 + k, 1, f"c{rng.random()}".replace(".", ""), 1, 0, 1, f"amber:{11 + k % 10}", 0, 0, bytes(14))]
+    for k in range(n, 2 * n):  # of one company, title and pay, a place and a skill more on one board
+        picked = rng.sample(range(104), 6)
+        sides = [sum(1 << x for x in chosen).to_bytes(14, "little") for chosen in (picked[:5], picked)]
+        rows += [(k, 0, "hot", 2, 0, 1, f"p{rng.random()}:9".replace(".", ""), 10, 20, sides[0]), (100_000 + k, 1, "hot", 2, 0, 3, "", 10, 20, sides[1])]
+    df = spark.createDataFrame(rows, FEATURES)
+    found = linkage.neighbour_pairs(df).filter("id_b = id_a + 100000 or id_a = id_b + 100000")
+    assert found.filter(f"id_a < {n}").count() == found.filter(f"id_a >= {n}").count() == n
+
+
+def test_pairs_of_one_company_are_all_compared(spark):
+    rng, rows = random.Random(11), []
+    for k in range(900):
+        low, fact = rng.choice([0, 10, 20]), rng.choice(["", "amber:4", "amber:5", "raven:9", "amber:30,raven:7"])
+        rows.append((k, k % 2, rng.choice(["hot", "hot", "hot", "small", ""]), rng.choice([0, 1, 1, 2]), rng.choice([0, 1]), rng.choice([0, 1, 2, 3]), fact, low, 40 + low if low else 0, bytes([rng.randrange(4)])))
+    df = spark.createDataFrame(rows, FEATURES)
+    company = {r[0]: r[2] for r in rows}
+    wide = {(r.id_a, r.id_b): r.score for r in linkage.neighbour_pairs(df, 10_000).collect() if r.board_a != r.board_b and company[r.id_a] == company[r.id_b] != ""}
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "70")
+    try:
+        found = {(r.id_a, r.id_b): r.score for r in linkage.neighbour_pairs(df, 5).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert len(wide) > 1000 and wide.items() <= found.items()
+
+
+def test_names_told_apart_by_their_letters():
+    rng = random.Random(2)
+    few = ["".join(rng.choices("abcdef", k=rng.randint(1, 9))) for _ in range(150)] + ["", "abcdefxyz", "abcdef", "caf\u00e9", "cafe", "caff\u00e9\u00e9"]
+    sides = list(zip(*itertools.product(range(len(few)), repeat=2)))
+    unlike = linkage._unlike(*((x[list(sides[0])], x[list(sides[1])]) for x in linkage._signatures(few)))
+    assert unlike.sum() > 1000 and all(linkage._alike(few[i], few[j]) == linkage.UNLIKE for i, j, u in zip(*sides, unlike) if u and few[i] != few[j])
+
+
 def best_total(edges):
     """The greatest sum of log odds of a one-to-one choice, by trying all."""
     best: dict[frozenset, float] = {frozenset(): 0.0}
