@@ -154,6 +154,13 @@ def test_assignment_has_the_greatest_total(spark):
     assert total(linkage.assign(df))[0] == pytest.approx(want)
 
 
+def test_large_components_are_matched_exactly_too(spark):
+    n = 1500  # in one component the better edge of each pair is better by less than the step of an auction
+    edges = [(k, k, 15.0) for k in range(n)] + [(k + 1, k, 15.0 + 1 / 64) for k in range(n)] + [(n + 1, k, linkage.EVEN + 1 / 128) for k in range(n)]
+    found = linkage.assign(spark.createDataFrame(edges, "id_a long, id_b long, score double")).collect()
+    assert sorted((r.id_a, r.id_b) for r in found) == [(k + 1, k) for k in range(n)]
+
+
 def test_auctions_come_near_the_greatest_total(spark, monkeypatch):
     rng = random.Random(6)
     edges = [(a, b, float(rng.randint(9, 20))) for a, b in itertools.product(range(9), range(9)) if rng.random() < 0.6]
