@@ -1,10 +1,12 @@
 import itertools
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from postmill.llm import linkage, names
+from postmill.llm.entries import matcher_of, title_forms
 
 TITLES = [(1, "Backend Engineer"), (2, "Data Analyst"), (3, "QA Engineer")]
 SKILLS = [(i, s) for i, s in enumerate(["Java", "SQL", "Git", "Python", "Docker", "React"], 1)]
@@ -66,6 +68,49 @@ def test_names_that_descriptions_count():
     assert agree("amber:4,raven:9", "raven:10") == 6 and agree("amber:4,raven:9", "raven:30") == -2 and agree("a:1,b:2", "c:1") == -3
 
 
+def test_names_that_descriptions_count_are_those_of_its_sentences():
+    def plainly(text):
+        out = {}
+        for sentence in re.split(r"[.\n\r\u3002!?]+", text):
+            if m := re.search(r"(?<![\w-])\d+(?![\w-])", sentence):
+                count = int(m.group()) if len(m.group()) < 19 else linkage._h(m.group())
+                sentence = sentence.strip(" -*\u2022+\t")
+                out |= {(n.group().lower(), count): None for n in re.finditer(r"(?<![\w.-])[A-Z][a-z]{3,}(?![a-z])", sentence) if n.start()}
+        return list(out)
+
+    rng, words, found = random.Random(3), ["Amber", "Raven", "abcDefgh", "Abcd-ef", "Team", "\u00c9lan", "12", "7", "-9", "4a", "1.5", "\u0663\u0664", "9" * 25, ".", "\u3002", "\n", "?!", "- ", "\u2022 ", " "], 0
+    for _ in range(20_000):
+        text = rng.choice([" ", ""]).join(rng.choices(words, k=rng.randint(0, 14)))
+        assert linkage.named_counts(text) == plainly(text), text
+        found += bool(plainly(text))
+    assert found > 1000
+
+
+def test_keys_become_rows_without_an_array_of_them(spark):
+    rng, heavy = random.Random(12), ["hot"]
+    rows = [(k, k % 2, rng.choice(["hot", "small", ""]), rng.choice([-5, 0, 1]), 1, k % 3, rng.choice(["", "amber:4", "amber:30,raven:7"]), k % 4, rng.choice([0, k % 4, 9]), bytes([k])) for k in range(100)]
+    df = spark.createDataFrame(rows, FEATURES)
+    got = linkage.keyed_rows(df, heavy)
+    want = []
+    for name, block, rest, whole, value in linkage._sort_keys(heavy):
+        mine = df.filter("facts != ''").withColumn("fact", F.explode(F.split("facts", ","))) if name in linkage.FACT_PASSES else df
+        key = F.concat(F.lit(name).cast("binary"), block)
+        want += mine.select(*df.columns, F.lit(name).alias("pass"), key.alias("key"), rest.alias("rest"), whole.alias("whole"), value.alias("value")).filter("key is not null").collect()
+    assert got.columns == [*df.columns, "pass", "key", "rest", "whole", "value"] and sorted(map(repr, got.collect())) == sorted(map(repr, want))
+    # exploded arrays of keys took three times the CPU seconds; what is exploded are the counted names alone
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Expand ") == 2 and plan.count("Generate ") == 1
+
+
+def test_titles_are_read_once_for_all_tasks_of_a_worker(spark):
+    rows = [(k, 0, None, f"Senior Backend Engineer ({k % 2})", None, None, None, None, 0, 0) for k in range(8)]
+    df = spark.createDataFrame(rows, "posting_id long, board int, company string, job_title string, location string, required_skills string, job_description string, crawled_at timestamp_ntz, low_kvnd long, high_kvnd long")
+    assert {(r.title, r.level) for r in linkage.features(df, TITLES, SKILLS).collect()} == {(1, 1)}
+    other = [(2, "Backend Engineer")]  # another list is not answered from the first one's
+    assert {(r.title, r.level) for r in linkage.features(df, other, SKILLS).collect()} == {(2, 1)}
+    assert matcher_of(TITLES, title_forms).known is matcher_of(TITLES, title_forms).known is not matcher_of(other, title_forms).known
+
+
 def test_large_block_with_names_on_one_side_and_no_pay(spark):
     rng, n, rows = random.Random(5), 300, []
     for k in range(n):
